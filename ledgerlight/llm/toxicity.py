@@ -33,6 +33,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 PIECE, STEP = 24, 12
 _STEPS = [(0, *c) for c in combinations(range(1, SPAN), ORDER - 1)]
 _LOWEST = -2.0
+IS_PUNCT = np.zeros(256, bool)
+IS_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def strings(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,11 +52,11 @@ def strings(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def spaced_out(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of three or more words of one byte each, as bytes joined without the space between, with their documents: `i d i o t`."""
+    """Strings with what separates their letters taken out, and their documents: runs of three or more words of one byte each (`i d i o t`), and words with ASCII punctuation between other characters (`i.d.iot`)."""
     s, e, first = tv.words(buf, offs)
     if not len(s):
         return np.zeros(0, object), np.zeros(0, np.int64)
-    one = (e - s == 1) & (buf[s] > 32)
+    one = e - s == 1
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
     new = np.ones(len(s), bool)
     new[1:] = ~(one[1:] & one[:-1] & (doc[1:] == doc[:-1]))
@@ -63,6 +65,19 @@ def spaced_out(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep = n >= 3
     out = [buf[s[h : h + k]].tobytes()[j : j + PIECE] for h, k in zip(heads[keep], n[keep], strict=True) for j in range(0, max(1, k - STEP), STEP)]
     of = [d for d, k in zip(doc[heads[keep]], n[keep], strict=True) for _ in range(0, max(1, k - STEP), STEP)]
+    mark = IS_PUNCT[buf]
+    change = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(mark, out=change[1:])
+    inner = np.flatnonzero(change[e] - change[s] > 0)
+    turns = np.zeros(len(buf) + 1, np.int64)  # from other characters to punctuation and back, inside a word
+    turns[2:] = np.cumsum(mark[:-1] & ~mark[1:])
+    for k in inner[turns[e[inner]] - turns[np.minimum(s[inner] + 1, e[inner])] > mark[s[inner]]]:
+        w = buf[s[k] : e[k]]
+        w = w[~mark[s[k] : e[k]]].tobytes()
+        if 2 < len(w):
+            pieces = range(0, max(1, len(w) - STEP), STEP)
+            out += [w[j : j + PIECE] for j in pieces]
+            of += [doc[k]] * len(pieces)
     return np.array(out, object), np.array(of, np.int64)
 
 
@@ -121,6 +136,16 @@ def _landmark_table(words: list[bytes]) -> np.ndarray:
     return out / np.sqrt(np.maximum(norm, 1e-12)).astype(np.float32)
 
 
+def _bent(word: bytes) -> list[bytes]:
+    """Four copies of a toxic string as people bend it: two with a byte inserted, two with a byte doubled, at places that its hash gives."""
+    h = int(tv.mix64(np.array([sum(x * 257**k for k, x in enumerate(word[:8])) % (1 << 63)], np.uint64))[0])
+    out = []
+    for k in range(4):
+        at = 1 + (h >> (8 * k)) % max(1, len(word) - 1)
+        out.append(word[:at] + (bytes([97 + (h >> (40 + 5 * k)) % 26]) if k < 2 else word[at - 1 : at]) + word[at:])
+    return out
+
+
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 50.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the active rows."""
     z1 = np.c_[z, np.ones(len(z))]
@@ -195,10 +220,10 @@ def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rou
     odds = np.log((df[1] + 0.3) / (y.sum() + 0.6)) - np.log((df[0] + 0.3) / ((1 - y).sum() + 0.6))
     rng = np.random.default_rng(seed)
     score, table, bias = np.where(df[1] > 1, odds, np.minimum(odds, 0.0)), None, 0.0
-    floor = 1.0
+    floor, least = 1.0, 1 + (y.sum() >= 100) + (y.sum() >= 500)
     pos_docs = [k for k in np.flatnonzero(y == 1) if len(ids[k])]
     for r in range(rounds):
-        chosen = np.unique(np.concatenate([i[(score[i] >= floor) & (df[0][i] * 4 <= df[1][i])] if r else i[np.argsort(-score[i], kind="stable")[:2]] for i in (ids[k] for k in pos_docs)]))
+        chosen = np.unique(np.concatenate([i[(score[i] >= floor) & (df[0][i] * 4 <= df[1][i]) & (df[1][i] >= least)] if r else i[np.argsort(-score[i], kind="stable")[:2]] for i in (ids[k] for k in pos_docs)]))
         chosen = chosen[score[chosen] > (0.5 if not r else 0.0)]
         if not len(chosen):
             break
@@ -207,14 +232,15 @@ def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rou
         neg = np.unique(np.r_[hard, rng.choice(neg, min(len(neg), 14_000), replace=False), neg[np.argsort(-df[0][neg], kind="stable")[:2000]]])
         marks = np.unique(np.r_[chosen[np.argsort(-df[1][chosen], kind="stable")[: LANDMARKS // 2]], rng.choice(neg, min(len(neg), LANDMARKS // 2), replace=False)])
         lt = _landmark_table([vocab[k] for k in marks])
-        rows = np.r_[chosen, neg]
-        x, offs = _features([vocab[k] for k in rows])
+        bent = [v for k in chosen for v in _bent(vocab[k])]
+        x, offs = _features([vocab[k] for k in chosen] + bent + [vocab[k] for k in neg])
         z = project(x, offs, lt)
         values, vectors = np.linalg.eigh(project(*_features([vocab[k] for k in marks]), lt))
         root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-        yy = np.r_[np.ones(len(chosen)), -np.ones(len(neg))]
-        weight = np.r_[np.minimum(df[1][chosen], 20.0), np.minimum(df[0][neg], 20.0)]
-        weight[: len(chosen)] *= 0.5 * weight.sum() / weight[: len(chosen)].sum()
+        n_pos, seen = len(chosen) + len(bent), np.minimum(df[1][chosen], 20.0)
+        yy = np.r_[np.ones(n_pos), -np.ones(len(neg))]
+        weight = np.r_[seen, np.repeat(seen, 4) / 4, np.minimum(df[0][neg], 20.0)]
+        weight[:n_pos] *= 0.5 * weight.sum() / weight[:n_pos].sum()
         w, bias = _svm(z @ root, yy, weight / weight.mean())
         table = (lt @ (root @ w)).astype(np.float32)
         score, floor = project(*_features(vocab), table) + bias, 0.0
