@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, mixing, quality, substrings, toxicity, warc
+from . import contamination, jaccard, licenses, mixing, quality, substrings, toxicity, warc
 from .common import remainder, table
 
 
@@ -30,6 +30,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -43,8 +47,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substrings, op6_jaccard_join, op9_licenses, op10_warc)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substrings, op5_decontamination, op6_jaccard_join, op9_licenses, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licenses": licenses.oracle_sql()}
+    return {"op5_decontamination": contamination.oracle_sql(), "op9_licenses": licenses.oracle_sql()}
