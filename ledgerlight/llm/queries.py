@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, licenses, mixing, quality, secrets, substrings, toxicity, warc
+from . import contamination, context_lm, jaccard, licenses, mixing, quality, secrets, substrings, toxicity, warc
 from .common import remainder, table
 
 
@@ -42,6 +42,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ","))
 
 
+def op8_context_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_lm.by_remainder(table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
 
@@ -51,7 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substrings, op5_decontamination, op6_jaccard_join, op7_secrets, op9_licenses, op10_warc)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_substrings, op5_decontamination, op6_jaccard_join, op7_secrets, op8_context_lm, op9_licenses, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

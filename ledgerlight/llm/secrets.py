@@ -86,7 +86,7 @@ def findings(n: int = FINDINGS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     name = lambda: r.choice(["password", "passwd", "token", "api_key", "secret", "client_secret", "AUTH_TOKEN", "access_key", "pwd"])
     given = lambda v: r.choice([f"{name()}={v}", f'{name()} = "{v}"', f"{name()}: {v}", f"{name()}: '{v}'"])
     real = [
-        lambda: "AKIA" + some(upper, 16), lambda: "gh" + r.choice("pousr") + "_" + some(alnum, 36), lambda: "AIza" + some(alnum + "_-", 35), lambda: "sk_live_" + some(alnum, 24),
+        lambda: "AKIA" + some(upper, 16), lambda: r.choice(["AKIA", "ASIA"]) + some(upper[:26] + r.choice(["", "7", "24", "2357"]), 16), lambda: "gh" + r.choice("pousr") + "_" + some(alnum, 36), lambda: "AIza" + some(alnum + "_-", 35), lambda: "sk_live_" + some(alnum, 24),
         lambda: "eyJ" + some(alnum, 20) + ".eyJ" + some(alnum, 40) + "." + some(alnum, 43), lambda: given(some(hexa, r.choice([16, 18, 20, 24, 32, 40, 64]))), lambda: given(some(hexa, r.randint(12, 48))),
         lambda: given(some(alnum, r.randint(10, 48))), lambda: given(some(alnum + "!@#%+-_", r.randint(10, 32))), lambda: given(word() + str(r.randint(10, 9999)) + r.choice("!@#%")),
         lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(alnum + "+/", 64) for _ in range(6)) + "\n-----END RSA PRIVATE KEY-----", lambda: some(alnum + "+/", 40),
