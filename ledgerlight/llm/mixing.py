@@ -96,11 +96,27 @@ def _reduce(seed: int, last: bool):
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of docs: doc_id, size, source, source_size, target, copies, taken (words: copies times size)."""
+    return _mix(docs, id_col, text_col, source_col, weights, share, cap, seed, bucket_rows, fan_in).drop("key")
+
+
+def _key(id_col: str, text_col: str, source_col: str):
+    return F.xxhash64(F.col(id_col), F.col(source_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
+def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """The mixture itself: the rows of docs that are taken at all, with copies and taken; equal rows become one with all their copies."""
+    mixed = _mix(docs, id_col, text_col, source_col, weights, share, cap, seed, bucket_rows, fan_in)
+    chosen = mixed.filter("copies > 0").groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    keyed = docs.drop("copies", "taken").withColumn("_of", _key(id_col, text_col, source_col))
+    return keyed.join(chosen, F.col("_of") == F.col("_key")).dropDuplicates(["_of"]).drop("_of", "_key")
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, seed: int, bucket_rows: int, fan_in: int) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = stage(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_col), F.col(source_col), text).alias("key"),
+            _key(id_col, text_col, source_col).alias("key"),
         ), "sizes",
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -122,4 +138,4 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         rows = rows.filter((F.col("p") > 0) & (F.col("p") < 1)).withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long") if buckets > 1 else F.lit(0).cast("long"))
     done = rows if done is None else done.unionByName(rows)
     copies = F.when(F.col("size") > 0, F.col("whole") + F.round("p").cast("long")).otherwise(F.lit(0)).cast("long")
-    return done.join(t, F.col("source").eqNullSafe(F.col("of")), "inner").select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return done.join(t, F.col("source").eqNullSafe(F.col("of")), "inner").select("doc_id", "size", "source", "key", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

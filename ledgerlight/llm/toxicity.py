@@ -287,3 +287,14 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
 
     out = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.select(*cols, F.col(text_col).alias("_text")).mapInArrow(run, out)
+
+
+def reject(docs: DataFrame, model: dict, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores below one half."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(predict(b.column(at), shared.value) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
