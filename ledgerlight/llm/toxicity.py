@@ -148,7 +148,7 @@ def _bent(word: bytes) -> list[bytes]:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 50.0, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the active rows."""
-    z1 = np.c_[z, np.ones(len(z))]
+    z1 = np.c_[z, np.ones(len(z))].astype(np.float64)
     w, reg = np.zeros(z1.shape[1]), np.eye(z1.shape[1])
     reg[-1, -1] = 1e-6
     for _ in range(rounds):
@@ -233,8 +233,8 @@ def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rou
         marks = np.unique(np.r_[chosen[np.argsort(-df[1][chosen], kind="stable")[: LANDMARKS // 2]], rng.choice(neg, min(len(neg), LANDMARKS // 2), replace=False)])
         lt = _landmark_table([vocab[k] for k in marks])
         bent = [v for k in chosen for v in _bent(vocab[k])]
-        x, offs = _features([vocab[k] for k in chosen] + bent + [vocab[k] for k in neg])
-        z = project(x, offs, lt)
+        rows = [vocab[k] for k in chosen] + bent + [vocab[k] for k in neg]
+        z = np.concatenate([project(*_features(rows[k : k + 2000]), lt).astype(np.float32) for k in range(0, len(rows), 2000)])
         values, vectors = np.linalg.eigh(project(*_features([vocab[k] for k in marks]), lt))
         root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
         n_pos, seen = len(chosen) + len(bent), np.minimum(df[1][chosen], 20.0)
