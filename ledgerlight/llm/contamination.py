@@ -6,8 +6,9 @@ and joined with the seeds of every document. Each hit is verified at once on the
 tokens is laid over the document where the hit puts it, and the share of equal tokens must reach a bound.
 
 The benchmark side is counted and dealt into blocks of a bounded number of seeds; each block is broadcast and met by
-all documents, so no document is shuffled and no key is hot. Tokens stay beside the exploded seeds until the verification, which
-runs in the same stage; what is shuffled afterwards is one small row for each verified hit.
+all documents, so no document is shuffled and no key is hot. Texts are cut into overlapping pieces of a bounded number of tokens,
+so that a very long one takes no more memory than others. A piece stays beside its exploded seeds until the verification, which
+runs in the same stage, in generated code up to the join; what is shuffled afterwards is one small row for each document and item hit.
 
 Defined results: null and empty texts, and texts or items with fewer than seven tokens, hit nothing; repeated items count once; rows with
 equal ids and texts give one row for each item; a null document or item id is kept as null.
@@ -27,6 +28,8 @@ MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 6, 8, 9, 11),
 WINDOW, BEFORE, SHARE = 24, 6, 0.7
 #: Seeds of the benchmark that are broadcast at once, each with its window: 200 bytes or so.
 BLOCK_SEEDS = 150_000
+#: Tokens of a piece, and tokens on either side that it shares with its neighbours: more than a window reaches.
+PIECE, MARGIN = 2048, 64
 NOT_TOKEN = r"[^\p{L}\p{N}]+"
 
 
@@ -35,6 +38,11 @@ def tokens(text: Column) -> Column:
     return F.transform(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_TOKEN), ""), lambda x: F.xxhash64(x))
 
 
+def pieces(h: Column) -> Column:
+    starts = F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(PIECE))
+    return F.transform(starts, lambda s: F.slice(h, F.greatest(s - MARGIN, F.lit(0)) + 1, F.lit(PIECE + 2 * MARGIN)))
+
+
 def seeded(df: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each seed of the token array h: keep, h, pos and key."""
     offsets = sorted({o for m in MASKS for o in m})
@@ -56,14 +64,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     """One row for each document, given by id and text, and item in it: doc_id, tkey (hash of the text), item_id, overlap."""
     s = seeds(benchmark, item_col, item_text_col)
     blocks = partitions(s.count(), block_seeds, 1)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), tokens(F.col(text_col)).alias("h"))
-    all_seeds = seeded(src, ["doc_id", "tkey"])
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), tokens(F.col(text_col)).alias("all"))
+    all_seeds = seeded(src.select("doc_id", "tkey", F.explode(pieces(F.col("all"))).alias("h")), ["doc_id", "tkey"])
     same = F.size(F.filter(F.sequence(F.lit(0), F.size("win") - 1), lambda k: F.coalesce(F.get("h", F.col("pos") - F.col("at") + k) == F.get("win", k), F.lit(False))))
     parts = []
     for b in range(blocks):
         some = F.broadcast(s.filter(F.pmod("key", F.lit(blocks)) == b).withColumnRenamed("key", "of"))
-        parts.append(all_seeds.join(some, F.col("key") == F.col("of")).select("doc_id", "tkey", "item_id", (same / F.size("win")).alias("overlap")).filter(F.col("overlap") >= share))
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tkey", "item_id").agg(F.max("overlap").alias("overlap"))
+        parts.append(all_seeds.join(some, F.col("key") == F.col("of")).select("doc_id", "tkey", "item_id", (same / F.size("win")).alias("overlap")))
+    # the bound comes after the aggregate: as a condition of the join it would end the generated code before it, and each seed would be a row with its piece
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tkey", "item_id").agg(F.max("overlap").alias("overlap")).filter(F.col("overlap") >= share)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
