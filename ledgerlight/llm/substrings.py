@@ -151,14 +151,15 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text"))
     level1 = stage(src.mapInArrow(_level1(window), "did long, tkey long, n_words long, digest string, halves array<long>"), "halves")
-    firsts = level1.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("did").alias("first"))
+    # tables of repeated keys are written before they are joined back: both sides of each join are then dealt for it alone, and a hot key's rows can be split
+    firsts = stage(level1.filter(F.col("n_words") >= window).groupBy("digest").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "copies")
     kept = stage(level1.join(firsts, "digest", "left").select("did", "tkey", "n_words", "digest", "halves", F.coalesce(F.col("first") < F.col("did"), F.lit(False)).alias("copy")), "firsts")
     halves = kept.filter(~F.col("copy")).select("did", "tkey", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter(F.col("lo") < F.col("hi")).select("half")
+    shared = stage(halves.groupBy("half").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter(F.col("lo") < F.col("hi")).select("half"), "shared")
     survivors = halves.join(shared, "half").groupBy("did", "tkey").agg(F.collect_set("half").alias("halves"))
     level2 = stage(src.join(survivors, ["did", "tkey"]).select("did", "tkey", "text", "halves").mapInArrow(_level2(window), "did long, tkey long, text string, windows array<long>, starts array<int>"), "windows")
     windows = level2.select("did", "tkey", F.explode(F.array_distinct("windows")).alias("w"))
-    least = windows.groupBy("w").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter(F.col("lo") < F.col("hi")).select("w", "lo")
+    least = stage(windows.groupBy("w").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).filter(F.col("lo") < F.col("hi")).select("w", "lo"), "least")
     gone = windows.join(least, "w").filter(F.col("lo") < F.col("did")).groupBy("did", "tkey").agg(F.collect_set("w").alias("gone"))
     cut = level2.join(gone, ["did", "tkey"]).select("did", "tkey", "text", "windows", "starts", "gone").mapInArrow(_cut(window), "did long, tkey long, n_removed long, kept_sha256 string")
     nothing = hashlib.sha256(b"").hexdigest()
