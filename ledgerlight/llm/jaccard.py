@@ -34,7 +34,7 @@ TOKENS = 64
 PICKS = 1.6
 DEPTH = 3
 RECALL = 0.998
-LEAF, BLOCK = 512, 1024
+LEAF, BLOCK = 512, 256
 _LAST = (1 << 63) - 1
 _ODD = tv.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
