@@ -33,6 +33,13 @@ class AnalysisResult:
     limitations: list[str] = field(default_factory=list)
     evidence_ids: list[str] = field(default_factory=list)
     chart: dict | None = None
+    kept: DataFrame | None = None
+
+    def release(self) -> None:
+        """Lets the persisted input go; outputs can still be read and then compute it anew."""
+        if self.kept is not None:
+            self.kept.unpersist()
+            self.kept = None
 
 
 def pick(inputs: list[Evidence], config: dict) -> Evidence:

@@ -33,17 +33,25 @@ def tool(f):
 
 
 def run_analysis(name: str, inputs: list[Evidence], config: dict | None = None) -> AnalysisResult:
-    """Runs a tool; a violated precondition gives status insufficient_data with its reason and nothing else."""
+    """Runs a tool; a violated precondition gives status insufficient_data with its reason and nothing else.
+
+    The input is read several times, by its checks and by each output, so it is persisted (memory, then disk) unless config
+    says persist=False; result.release() lets it go.
+    """
     if name not in TOOLS:
         raise KeyError(name)
     config = config or {}
+    kept = None
     try:
         e = pick(inputs, config)
-        result = AnalysisResult(name, evidence_ids=[e.id])
-        TOOLS[name](e.df, config, result)
+        kept = e.df.persist() if config.get("persist", True) and not e.df.is_cached else None
+        result = AnalysisResult(name, evidence_ids=[e.id], kept=kept)
+        TOOLS[name](e.df if kept is None else kept, config, result)
         enrich(name, inputs, config, result)
         return result
     except InsufficientData as reason:
+        if kept is not None:
+            kept.unpersist()
         return AnalysisResult(name, status="insufficient_data", limitations=[str(reason)], evidence_ids=[e.id for e in inputs])
 
 
