@@ -243,7 +243,7 @@ def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rou
         weight[:n_pos] *= 0.5 * weight.sum() / weight[:n_pos].sum()
         w, bias = _svm(z @ root, yy, weight / weight.mean())
         table = (lt @ (root @ w)).astype(np.float32)
-        score, floor = project(*_features(vocab), table) + bias, 0.0
+        score, floor = np.concatenate([project(*_features(vocab[k : k + 20_000]), table) for k in range(0, len(vocab), 20_000)]) + bias, 0.0
     if table is None:
         table = np.zeros(1 << TABLE_BITS, np.float32)
     top = tops(pa.array([t or "" for t in texts]), table, bias)
