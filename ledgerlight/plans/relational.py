@@ -9,6 +9,7 @@ from ledgerlight.functions import expr as X
 from ledgerlight.operators import joins as J
 from ledgerlight.operators import aggregates as A
 
+from . import history
 from .registry import query
 
 c = F.col
@@ -441,6 +442,27 @@ def priority_sort(t):
     return t.orders.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", rank.alias("rank")).limit(300)
 
 
+_RUNS = "SELECT event_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'complete' END AS status, CASE WHEN user_id % 3 = 0 THEN 'legacy' ELSE 'user' END AS origin, 'Q ' || event_type AS question, event_type AS domain, ts AS created_at FROM events"
+
+
+@query(f"SELECT run_id, status, origin FROM ({_RUNS}) WHERE lower(question) LIKE '%pur%' OR lower(question) LIKE '%q err%' ORDER BY CASE WHEN origin = 'user' AND status = 'complete' THEN 0 WHEN origin = 'legacy' THEN 2 ELSE 1 END, created_at DESC, run_id DESC LIMIT 40 OFFSET 10")
+def history_page(t):
+    runs = t.events.select(c("event_id").alias("run_id"), F.when(c("event_type") == "error", "failed").otherwise("complete").alias("status"), F.when(c("user_id") % 3 == 0, "legacy").otherwise("user").alias("origin"), F.concat(F.lit("Q "), c("event_type")).alias("question"), c("event_type").alias("domain"), c("ts").alias("created_at"))
+    both = runs.filter(F.contains(F.lower("question"), F.lit("pur")) | F.contains(F.lower("question"), F.lit("q err")))
+    return history.search(both, offset=10, limit=40)[0].select("run_id", "status", "origin")
+
+
+@query(f"SELECT count(*) AS total FROM ({_RUNS}) WHERE lower(question) LIKE '%click%' AND status = 'complete'")
+def history_total(t):
+    runs = t.events.select(F.when(c("event_type") == "error", "failed").otherwise("complete").alias("status"), F.concat(F.lit("Q "), c("event_type")).alias("question"), F.lit("user").alias("origin"), c("ts").alias("created_at"), c("event_id").alias("run_id"))
+    return history.search(runs, "CLICK", status="complete")[1]
+
+
+@query("SELECT strftime(d, '%Y-%m') AS period, d AS period_start, last_day(d) AS period_end, d - 1 AS previous_end, day(last_day(d))::INT AS day_count FROM (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1997-12-01', INTERVAL 1 MONTH))::DATE AS d)")
+def inventory_spine(t):
+    return history.inventory_months(t.spark, "1996-01-01", "1997-12-01")
+
+
 # sets
 
 
