@@ -96,7 +96,7 @@ def _statement(spark: SparkSession, sql: str, tables: set[str], subqueries: bool
                     parts = [str(n).lower() for n in _seq(x.nameParts())]
                     if len(parts) > 1 or parts[0] not in FUNCTIONS:
                         raise PolicyError(f"function {'.'.join(parts)} is not allowed")
-                if xk in ("UnresolvedStarExceptOrReplace", "UnresolvedStarExcept") and "replace" in sql.lower():
+                if xk == "UnresolvedStarExceptOrReplace" and x.replacements().isDefined():
                     raise PolicyError("only plain stars and exclusions are allowed")
 
 

@@ -42,6 +42,7 @@ ACCEPTED = [
     "SELECT s.amount, b.amount AS seen FROM sales s JOIN observations b ON s.key = b.key AND s.sale_date = b.record_date",
     "SELECT c.day, sum(v.price) AS mrr FROM calendar c JOIN versions v ON c.day >= v.valid_from AND (c.day < v.valid_to OR v.valid_to IS NULL) GROUP BY c.day",
     "SELECT order_id, row_number() OVER (ORDER BY amount DESC) AS rn FROM orders ORDER BY rn LIMIT 2",
+    "SELECT * EXCEPT (amount), replace(CAST(d AS STRING), '-', '') AS day FROM orders",
     "SELECT customer_id FROM orders INTERSECT SELECT customer_id FROM customers",
 ]
 WITH_SUBQUERIES = [
