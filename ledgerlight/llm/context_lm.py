@@ -5,13 +5,17 @@ at the bits of the byte so far, in the context of the last 0 to 4 bytes of the w
 tables of fixed sizes. A predictor's log-odds come from the counts of zeros and ones that its slot has seen; a weight, chosen (gated) by
 the predictor and by how much its slot has seen, multiplies them; the sum is the mixed log-odds. The weights are learned online, word after
 word, against counts from which that word itself is left out. An adaptive map from the mixed log-odds and the bits so far then corrects
-what is still biased. Last, the word's own count joins as one more predictor of whole words, with a fitted share.
+what is still biased. The word's own count joins as one more predictor of whole words, with a fitted share.
 
-All counts cover all words of all learning documents. Words and counts stay distributed: a score is computed once for each different word,
-and joined to the words of each batch of documents, which travel as posting lists; texts are never shuffled. What reaches the driver is bounded: the tables,
-and a sample of words for the weights.
+The bit predictors' contexts end at the word. The text's order enters by the last predictor, of whole words and ends after the word before them (after an
+end at a text's start): the count of the pair over the count of its first word. Its share is gated by how often that first word was seen and by
+how many different words followed it; the shares are fitted over all pairs of the learning documents, with each pair's own occurrence left out.
 
-Defined results: null and empty texts are one end; without learning documents every probability of a bit is one half and an end has one half; repeated
+All counts cover all words and all pairs of all learning documents. Words, pairs and counts stay distributed: a score is computed once for each different pair,
+and joined to the pairs of each batch of documents, which travel as posting lists; texts are never shuffled. What reaches the driver is bounded: the tables,
+sums by share and ratio, and a sample of words for the weights.
+
+Defined results: null and empty texts are one end after an end; without learning documents every probability of a bit is one half and an end has one half; repeated
 rows count and score each; a null id has the empty text as its key for the split.
 """
 
@@ -35,6 +39,10 @@ TASK_WORDS = 1_000_000
 GATES, PRIOR = 12, 0.4
 _SHIFT = np.cumsum([0, *(1 << b for b in BITS)])
 _END = np.uint64(0x5851F42D4C957F2D)
+#: Key of a batch's own row among the keys of pairs.
+_OWN = np.uint64(0x14057B7EF767814F)
+#: Steps of the number of occurrences and of the variety of what follows, by which the shares of pairs are gated.
+SEEN_GATES, VARIETY = 32, 4
 _K = np.uint32(0x9E3779B1)
 
 
@@ -188,6 +196,35 @@ def _parts(text: pa.Array):
         yield lo, hi, buf, s, e, tv.hashes(buf, s, e), np.repeat(np.arange(lo, hi), np.diff(first))
 
 
+def _in_order(h: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of a run of documents in their order, each text's end included: the token before, the token, its document."""
+    size = np.bincount(doc - lo, minlength=hi - lo) + 1
+    token, word = np.full(len(h) + hi - lo, _END), np.ones(len(h) + hi - lo, bool)
+    word[np.cumsum(size) - 1] = False
+    token[word] = h
+    return np.r_[_END, token[:-1]], token, np.repeat(np.arange(lo, hi), size)
+
+
+def _pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return tv.mix64(before + tv.mix64(token ^ _OWN))
+
+
+def _count_pairs(batches):
+    for b in batches:
+        learn_row = np.asarray(b.column(1))
+        for lo, hi, _, _, _, h, doc in _parts(b.column(0)):
+            before, token, row = _in_order(h, doc, lo, hi)
+            _, rep, back = np.unique(_pair_keys(before, token), return_index=True, return_inverse=True)
+            n = np.bincount(back, learn_row[row], minlength=len(rep)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(before[rep].view(np.int64)), pa.array(token[rep].view(np.int64)), pa.array(n)], ["before", "h", "n"])
+
+
+def _keys(batches):
+    for b in batches:
+        before, token = (np.asarray(b.column(k)).view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_keys(before, token).view(np.int64)), *b.columns[2:]], ["h", *b.schema.names[2:]])
+
+
 def _count_words(batches):
     for b in batches:
         learn_row = np.asarray(b.column(1))
@@ -280,14 +317,56 @@ def _pairs(h: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarra
     return h[at], doc[at], np.add.reduceat(times, at) if len(at) else times
 
 
+def _share_gate(seen: Column, followers: Column) -> Column:
+    """Number of the share of a pair whose first word was seen so often, before so many different words."""
+    step = F.least(F.floor(F.log2(seen + 1)), F.lit(SEEN_GATES - 1))
+    variety = F.least(F.floor(followers * VARIETY / F.greatest(seen, F.lit(1))), F.lit(VARIETY - 1))
+    return F.greatest(step * VARIETY + variety, F.lit(0)).cast("int")
+
+
+def pair_shares(pairs: DataFrame) -> list[float]:
+    """The share of the pair's count for each gate, by expectation steps over all learning pairs without the occurrence itself; ratios of probabilities in steps of a quarter of a power of two."""
+    seen, many = F.col("seen") - 1, F.col("pair") - 1
+    ratio = F.log2(many / seen) - F.col("log") * float(np.log2(10))
+    place = F.when((many > 0) & (seen > 0), F.greatest(F.lit(-400), F.least(F.lit(400), F.round(ratio * 4)))).cast("int")
+    gate = _share_gate(seen, F.col("followers") - (many == 0).cast("int"))
+    sums = pairs.filter("pair > 0").groupBy(gate.alias("gate"), place.alias("place")).agg(F.sum("pair").alias("n")).toArrow()
+    g, n = np.asarray(sums["gate"]).astype(np.int64), np.asarray(sums["n"]).astype(np.float64)
+    r = np.where(np.asarray(sums["place"].is_null()), 0.0, 2.0 ** (np.asarray(sums["place"].fill_null(0)) / 4.0))
+    share = np.full(SEEN_GATES * VARIETY, 0.25)
+    for _ in range(60):
+        mine = np.bincount(g, n * share[g] * r / (share[g] * r + 1 - share[g]), minlength=len(share))
+        share = (mine + 0.5) / (np.bincount(g, n, minlength=len(share)) + 2)
+    return share.tolist()
+
+
+def pair_logs(words: DataFrame, logs: DataFrame, src: DataFrame) -> DataFrame:
+    """h (the pair's key), c (count of its second word) and the decimal logarithm of the model's probability of each different pair; the key of a batch's own row with zeros."""
+    pairs = src.select("text", (~F.col("out")).alias("learn")).mapInArrow(_count_pairs, "before long, h long, n long").groupBy("before", "h").agg(F.sum("n").alias("pair"))
+    pairs = stage(pairs, "pairs")
+    followers = pairs.filter("pair > 0").groupBy("before").agg(F.count(F.lit(1)).alias("followers"))
+    firsts = logs.select(F.col("h").alias("before"), F.col("c").alias("seen")).join(followers, "before", "left")
+    seconds = logs.select("h", "c", "log")
+    joined = pairs.join(seconds, "h").join(firsts, "before").select("before", "h", "pair", "c", "log", "seen", F.coalesce("followers", F.lit(0)).alias("followers"))
+    joined = stage(joined.mapInArrow(_keys, "h long, pair long, c long, log double, seen long, followers long"), "pair_counts")
+    shares = F.array(*[F.lit(x) for x in pair_shares(joined)])
+    share = F.when(F.col("seen") > 0, F.get(shares, _share_gate(F.col("seen"), F.col("followers")))).otherwise(0.0)
+    word, pair = F.col("log") + F.log10(1 - F.col("share")), F.log10(F.col("share") * F.col("pair") / F.col("seen"))
+    top = F.greatest(word, pair)
+    both = F.when(F.col("pair") > 0, top + F.log10(1 + F.pow(F.lit(10.0), F.least(word, pair) - top))).otherwise(word)
+    own = words.sparkSession.range(1).select(F.lit(int(_OWN.astype(np.int64))).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log"))
+    return joined.withColumn("share", share).select("h", "c", both.alias("log")).unionByName(own)
+
+
 def _postings(batches):
-    """For each batch of documents and different word: the rows that have it and how often, as pairs of integers of a width that the batch's own row, that of the end token, begins with; that row also has the ids."""
+    """For each batch of documents and different pair: the rows that have it and how often, as pairs of integers of a width that the batch's own row begins with; that row also has the ids."""
     task, number = TaskContext.get().partitionId(), 0
     for b in batches:
         found, size = [], np.zeros(b.num_rows, np.int64)
-        for lo, hi, _, s, e, h, doc in _parts(b.column(2)):
-            size[lo:hi] += np.bincount(doc - lo, minlength=hi - lo)
-            found.append(_pairs(h, doc.astype(np.uint32), np.ones(len(h), np.uint32)))
+        for lo, hi, _, _, _, h, doc in _parts(b.column(2)):
+            before, token, row = _in_order(h, doc, lo, hi)
+            size[lo:hi] += np.bincount(row - lo, minlength=hi - lo)
+            found.append(_pairs(_pair_keys(before, token), row.astype(np.uint32), np.ones(len(row), np.uint32)))
         h, doc, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
         found.clear()
         h, doc, times = _pairs(h, doc, times)
@@ -303,7 +382,7 @@ def _postings(batches):
         ids[:, 0] = np.asarray(b.column(0).fill_null(0))
         ids[:, 1] = np.asarray(b.column(0).is_null()).astype(np.int64) + 2 * np.asarray(b.column(1)).astype(np.int64)
         ids[:, 2], ids[:, 3] = size, np.asarray(b.column(3))
-        yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([_END.astype(np.int64)]), pa.array([bytes([width]) + ids.tobytes()], pa.binary())], ["unit", "h", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([_OWN.astype(np.int64)]), pa.array([bytes([width]) + ids.tobytes()], pa.binary())], ["unit", "h", "rows"])
         for lo in range(0, n, 50_000):
             k = min(50_000, n - lo)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, unit)), pa.array(words[lo : lo + k]), lists.slice(lo, k)], ["unit", "h", "rows"])
@@ -315,7 +394,7 @@ def _sums(base: float):
 
     def emit(x: np.ndarray, known, plain, mixed):
         doc = pa.array(x[:, 0], mask=(x[:, 1] & 1).astype(bool))
-        return pa.RecordBatch.from_arrays([doc, pa.array((x[:, 1] & 2) > 0), pa.array(x[:, 2] + 1), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(mixed), pa.array(x[:, 3])], names)
+        return pa.RecordBatch.from_arrays([doc, pa.array((x[:, 1] & 2) > 0), pa.array(x[:, 2]), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(mixed), pa.array(x[:, 3])], names)
 
     def run(batches):
         unit, ids, acc, width = None, None, None, 2
@@ -332,7 +411,7 @@ def _sums(base: float):
                         yield emit(ids, *acc)
                     unit, own, width = units[a], data[s[0] : e[0]].tobytes(), int(data[s[0]])
                     ids = np.frombuffer(own[1:], np.int64).reshape(-1, 4)
-                    acc = np.repeat(np.array([[v[0]] for v in values]), len(ids), axis=1)  # the end token: once in each document
+                    acc = np.zeros((len(values), len(ids)))
                     s, e, values = s[1:], e[1:], [v[1:] for v in values]
                 flat, _ = tv.take_ranges(s, e)
                 pairs = np.ascontiguousarray(data[flat]).view(f"u{width}").reshape(-1, 2).astype(np.int64)
@@ -356,10 +435,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     words = src.select("text", (~F.col("out")).alias("learn")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     words = stage(words, "words")
     model = train(words)
-    logs = stage(token_logs(words, model), "logs")
+    logs = pair_logs(words, stage(token_logs(words, model), "logs"), src)
     base = float(np.log10(model["tokens"] + model["distinct"] + 1))
     asked = src.select("doc_id", "out", "text", "n_bytes").mapInArrow(_postings, "unit long, h long, rows binary")
-    own = (F.col("h") != int(_END.astype(np.int64))).alias("late")
+    own = (F.col("h") != int(_OWN.astype(np.int64))).alias("late")
     by_unit = asked.join(logs, "h").select("unit", "rows", "c", "log", own).repartition("unit").sortWithinPartitions("unit", "late").drop("late")
     sums = by_unit.mapInArrow(_sums(base), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = F.try_divide(-F.col("score") * float(np.log2(10)), F.col("n_bytes"))

@@ -63,3 +63,38 @@ def test_bits_are_a_distribution():
             total += lm._bit_log(mixed, node, bit, model["apm"])
         logs[b] = total[2]
     assert abs(np.exp(logs).sum() - 1) < 1e-4
+
+
+def test_order_counts(spark):
+    """A held-out text scores better than the same words in another order, by the counts of pairs of all learning documents."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from .fixtures import docs
+
+    ship(spark)
+    r = random.Random(3)
+    sentences = [" ".join(r.choice(["red", "blue", "old", "new"]) + " " + r.choice(["house", "river", "stone"]) + " " + r.choice(["falls", "stands"]) for _ in range(30)) for _ in range(60)]
+    mixed = sentences[-1].split()
+    r.shuffle(mixed)
+    rows = [*enumerate(sentences), (100, " ".join(mixed)), (101, " ".join(sentences[-1].split()[::-1]))]
+    got = {x.doc_id: x for x in lm.score(docs(spark, rows), held_out=F.col("doc_id") >= 59).collect()}
+    assert math.isclose(got[59].base_score, got[100].base_score) and math.isclose(got[59].base_score, got[101].base_score)
+    assert got[59].score > got[100].score + 20 and got[59].score > got[101].score + 20
+    assert got[59].n_tokens == got[100].n_tokens == 91
+
+
+def test_pairs_are_a_distribution(spark):
+    """After each token of a closed vocabulary the probabilities of all tokens add up to one; a seen pair gains by its count."""
+    ship(spark)
+    words = {b"": (3, 0.2), b"a": (3, 0.5), b"b": (2, 0.3)}
+    keys = {w: lm._hash_words(np.frombuffer(w, np.uint8), np.array([0]), np.array([1])) if w else np.array([lm._END]) for w in words}
+    logs = spark.createDataFrame([(int(keys[w].view(np.int64)[0]), c, math.log10(p)) for w, (c, p) in words.items()], "h long, c long, log double")
+    learn, rest = ["a b a", "b a", ""], ["a a b b", "b b", "a", "b", ""]
+    src = spark.createDataFrame([(t, False) for t in learn] + [(t, True) for t in rest], "text string, out boolean")
+    got = {r.h: 10**r.log for r in lm.pair_logs(src, logs, src).collect()}
+    p = {(x, y): got[int(lm._pair_keys(keys[x], keys[y]).view(np.int64)[0])] for x in words for y in words}
+    for x in words:
+        assert abs(sum(p[x, y] for y in words) - 1) < 1e-9
+    assert p[b"b", b"a"] > 0.5 and p[b"b", b"b"] < 0.3
