@@ -4,7 +4,7 @@ A text is a sequence of words and one end. A word is coded bit by bit, with a sp
 at the bits of the byte so far, in the context of the last 0 to 4 bytes of the word and of the whole word so far, hashed into
 tables of fixed sizes. A predictor's log-odds come from the counts of zeros and ones that its slot has seen; a weight, chosen (gated) by
 the predictor and by how much its slot has seen, multiplies them; the sum is the mixed log-odds. The weights are learned online, word after
-word, against counts from which that word itself is left out. An adaptive map from the mixed log-odds and the bits so far then corrects
+word, on a sample, and from there by Newton steps whose gradients and curvatures are summed over all learning words, against counts from which that word itself is left out. An adaptive map from the mixed log-odds and the bits so far then corrects
 what is still biased. The word's own count joins as one more predictor of whole words, with a fitted share.
 
 The bit predictors' contexts end at the word. The text's order enters by the last predictor, of whole words and ends after the word before them (after an
@@ -12,8 +12,8 @@ end at a text's start): the count of the pair over the count of its first word.
 how many different words followed it; the shares are fitted over all pairs of the learning documents, with each pair's own occurrence left out.
 
 All counts cover all words and all pairs of all learning documents. Words, pairs and counts stay distributed: a score is computed once for each different pair,
-and joined to the pairs of each batch of documents, which travel as posting lists; texts are never shuffled. What reaches the driver is bounded: the tables,
-sums by share and ratio, and a sample of words for the weights.
+and joined to the pairs of each batch of documents, which travel as posting lists; texts are never shuffled. Weights, map and shares are fitted in passes over all
+learning words. What reaches the driver is bounded: the tables, each task's sums, and a sample of words for the weights' first values.
 
 Defined results: null and empty texts are one end after an end; without learning documents every probability of a bit is one half and an end has one half; repeated
 rows count and score each; a null id has the empty text as its key for the split.
@@ -32,11 +32,13 @@ from .common import partitions, remainder, stage
 
 #: Slots of the tables by context: 0, 1, 2, 3, 4 bytes, whole word so far.
 BITS = (8, 16, 18, 19, 19, 20)
-#: Bounds of the sample that the weights are learned on: words by hash, words by count.
+#: Bounds of the sample that the weights start from: words by hash, words by count.
 SAMPLE, HEAD = 20_000, 4_000
 #: Different words that a task counts bits of, at least.
 TASK_WORDS = 1_000_000
 GATES, PRIOR = 12, 0.4
+#: Newton steps over all words at most, and the change of a weight that ends them; steps of the ratio (quarters of a power of two) that the share is fitted on.
+STEPS, ENOUGH, RATIOS = 6, 0.01, 4000
 _SHIFT = np.cumsum([0, *(1 << b for b in BITS)])
 _END = np.uint64(0x5851F42D4C957F2D)
 #: Key of a batch's own row among the keys of pairs.
@@ -103,21 +105,40 @@ def _apm_place(node: np.ndarray, st: np.ndarray) -> np.ndarray:
     return node.astype(np.int64) * 48 + np.clip(np.rint(st * 2) + 24, 0, 47).astype(np.int64)
 
 
+def _inputs(n0: np.ndarray, n1: np.ndarray, x: np.ndarray, offs: np.ndarray):
+    """For each of the eight bits: each predictor's log-odds without this occurrence, its gate; the bit, the bits so far."""
+    ctx = contexts(x, offs)
+    for node, bit in bit_steps(x):
+        st, gates = np.empty((len(BITS), len(x)), np.float32), np.empty((len(BITS), len(x)), np.int64)
+        for k, at in enumerate(slots(ctx, node)):
+            a, b = np.maximum(n0[at] - (bit == 0), 0), np.maximum(n1[at] - (bit == 1), 0)
+            st[k], gates[k] = _logodds(a, b), _gate(a + b)
+        yield st, gates, bit.astype(np.float64), node
+
+
+def _tables(n0: np.ndarray, n1: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted log-odds of each slot."""
+    st = np.zeros(_SHIFT[-1], np.float32)
+    for k in range(len(BITS)):
+        part = slice(_SHIFT[k], _SHIFT[k + 1])
+        st[part] = w[k][_gate(n0[part] + n1[part])] * _logodds(n0[part], n1[part])
+    return st
+
+
+def _apm(hit: np.ndarray, seen: np.ndarray, mean: float) -> np.ndarray:
+    centre = (np.tile(np.arange(48), 256) - 24) / 2.0
+    strength = 200.0 * max(mean, 1e-9)
+    p = (hit + strength / (1 + np.exp(-centre))) / (seen + strength)
+    return (np.log(p / (1 - p)) - centre).astype(np.float32)
+
+
 def learn(n0: np.ndarray, n1: np.ndarray, x: np.ndarray, offs: np.ndarray, weight: np.ndarray, block: int = 40) -> dict:
     """Weights and adaptive map from sampled words in their given order. weight: how many words each stands for."""
     n_pred = len(BITS)
     w = np.full((n_pred, GATES), 0.3)
     grad2 = np.full((n_pred, GATES), 1e-3)
-    ctx, per_byte = contexts(x, offs), np.repeat(weight, np.diff(offs))
-    word = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    inputs = []
-    for node, bit in bit_steps(x):
-        st, gates = np.empty((n_pred, len(x)), np.float32), np.empty((n_pred, len(x)), np.int64)
-        for k, at in enumerate(slots(ctx, node)):
-            a, b = n0[at] - (bit == 0), n1[at] - (bit == 1)  # without this occurrence
-            a, b = np.maximum(a, 0), np.maximum(b, 0)
-            st[k], gates[k] = _logodds(a, b), _gate(a + b)
-        inputs.append((st, gates, bit.astype(np.float64), node))
+    per_byte, word = np.repeat(weight, np.diff(offs)), np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    inputs = list(_inputs(n0, n1, x, offs))
     mean = np.average(np.ones(len(x)), weights=per_byte) * per_byte.mean() if len(x) else 1.0
     scale = np.minimum(per_byte / max(mean, 1e-9), 30.0)
     pred = np.arange(n_pred)[:, None]
@@ -137,15 +158,7 @@ def learn(n0: np.ndarray, n1: np.ndarray, x: np.ndarray, offs: np.ndarray, weigh
         at = _apm_place(node, mixed)
         hit += np.bincount(at, per_byte * bit, minlength=256 * 48)
         seen += np.bincount(at, per_byte, minlength=256 * 48)
-    centre = (np.tile(np.arange(48), 256) - 24) / 2.0
-    strength = 200.0 * max(mean, 1e-9)
-    p = (hit + strength / (1 + np.exp(-centre))) / (seen + strength)
-    apm = np.log(p / (1 - p))
-    st = np.zeros(_SHIFT[-1], np.float32)
-    for k in range(n_pred):
-        part = slice(_SHIFT[k], _SHIFT[k + 1])
-        st[part] = w[k][_gate(n0[part] + n1[part])] * _logodds(n0[part], n1[part])
-    model = {"slots": st, "apm": (apm - centre).astype(np.float32), "share": 0.0, "total": 0.0}
+    model = {"slots": _tables(n0, n1, w), "apm": _apm(hit, seen, mean), "share": 0.0, "total": 0.0}
     # the share of the word counts, by expectation steps against counts without one occurrence
     raw = np.zeros(len(offs) - 1)
     for stv, gates, bit, node in inputs:
@@ -154,6 +167,80 @@ def learn(n0: np.ndarray, n1: np.ndarray, x: np.ndarray, offs: np.ndarray, weigh
     return model | {"sample_log": raw, "weights": w}
 
 
+def _word_sums(fit, size: int):
+    """Adds up fit(words' bytes, offsets, counts) over a task's words, as one row of `size` numbers."""
+
+    def run(batches):
+        sums = np.zeros(size)
+        for b in batches:
+            c = np.asarray(b.column(1)).astype(np.float64)
+            data, s, e = _binary(b.column(0))
+            for lo in range(0, len(s), 20_000):
+                sums += fit(*_flat(data, s[lo : lo + 20_000], e[lo : lo + 20_000]), c[lo : lo + 20_000])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    return run
+
+
+def learn_all(words: DataFrame, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, mean: float, total: int) -> dict:
+    """Weights from w on, map, and share of the word's own count, from sums over all words (word, c)."""
+    n_pred, n_w, n_map = len(BITS), len(BITS) * GATES, 256 * 48
+    counts = words.sparkSession.sparkContext.broadcast((n0, n1))
+
+    def over_words(fit, size):
+        rows = words.mapInArrow(_word_sums(fit, size), "sums binary").collect()
+        return np.sum([np.frombuffer(r.sums) for r in rows], axis=0) if rows else np.zeros(size)
+
+    def newton(x, offs, c):
+        scale = np.minimum(np.repeat(c, np.diff(offs)) / max(mean, 1e-9), 30.0)
+        g, h = np.zeros(n_w), np.zeros(n_w * n_w)
+        for st, gates, bit, _node in _inputs(*counts.value, x, offs):
+            at = gates + np.arange(n_pred)[:, None] * GATES
+            p = 1 / (1 + np.exp(-np.clip((w.ravel()[at] * st).sum(axis=0), -20, 20)))
+            g += np.bincount(at.ravel(), (scale * (bit - p) * st).ravel(), minlength=n_w)
+            bend = scale * p * (1 - p)
+            for i in range(n_pred):
+                for j in range(i, n_pred):
+                    h += np.bincount(at[i] * n_w + at[j], bend * st[i] * st[j], minlength=n_w * n_w)
+        return np.r_[g, h]
+
+    for _ in range(STEPS):
+        sums = over_words(newton, n_w + n_w * n_w)
+        half = sums[n_w:].reshape(n_w, n_w)
+        full = half + half.T - np.diag(np.diag(half))
+        # weights are drawn to 0.3, so that gates with few words are settled too
+        step = np.clip(np.linalg.solve(full + np.eye(n_w), sums[:n_w] - (w.ravel() - 0.3)), -0.5, 0.5)
+        w = w + step.reshape(w.shape)
+        if np.abs(step).max() < ENOUGH:
+            break
+
+    def mapped(x, offs, c):
+        per_byte, out = np.repeat(c, np.diff(offs)), np.zeros((2, n_map))
+        for st, gates, bit, node in _inputs(*counts.value, x, offs):
+            at = _apm_place(node, (w[np.arange(n_pred)[:, None], gates] * st).sum(axis=0))
+            out += [np.bincount(at, per_byte * bit, minlength=n_map), np.bincount(at, per_byte, minlength=n_map)]
+        return out.ravel()
+
+    hit, seen = over_words(mapped, 2 * n_map).reshape(2, n_map)
+    apm = _apm(hit, seen, mean)
+
+    def ratios(x, offs, c):
+        word, log = np.repeat(np.arange(len(c)), np.diff(offs)), np.zeros(len(c))
+        for st, gates, bit, node in _inputs(*counts.value, x, offs):
+            log += np.bincount(word, _bit_log((w[np.arange(n_pred)[:, None], gates] * st).sum(axis=0), node, bit, apm), minlength=len(c))
+        with np.errstate(divide="ignore"):
+            r = (np.log2(np.maximum(c - 1, 0) / max(1, total - 1)) - log / np.log(2)) * 4
+        return np.bincount(np.where(c > 1, np.clip(np.rint(np.maximum(r, -RATIOS)), 1 - RATIOS, RATIOS) + RATIOS, 0).astype(np.int64), c, minlength=2 * RATIOS + 1)
+
+    n = over_words(ratios, 2 * RATIOS + 1)
+    r = np.r_[0.0, 2.0 ** ((np.arange(1, 2 * RATIOS + 1) - RATIOS) / 4.0)]
+    share = 0.5
+    for _ in range(30 if n.sum() else 0):
+        share = float(np.average(share * r / (share * r + 1 - share), weights=n))
+    counts.unpersist()
+    return {"slots": _tables(n0, n1, w), "apm": apm, "share": min(max(share, 0.0), 0.999), "weights": w}
+
+
 def _bit_log(mixed: np.ndarray, node: np.ndarray, bit: np.ndarray, apm: np.ndarray) -> np.ndarray:
     st = mixed + 0.5 * apm[_apm_place(node, mixed)]
     return -np.logaddexp(0.0, np.where(bit == 1, -st, st))
@@ -279,13 +366,11 @@ def train(words: DataFrame) -> dict:
     data, e = np.frombuffer(b"".join(w for w, _, _ in mine), np.uint8), np.cumsum(sizes)
     x, offs = _flat(data, e - sizes, e)
     c, many = np.array([r[1] for r in mine], np.float64), np.array([r[2] for r in mine], np.float64)
-    model = learn(n0.astype(np.float64), n1.astype(np.float64), x, offs, c * many)
-    share, own = 0.5, np.maximum(c - 1, 0) / max(1, total - 1)
-    mixed = np.exp(np.clip(model.pop("sample_log"), -700, 0))
-    for _ in range(30 if len(c) else 0):
-        both = share * own + (1 - share) * mixed
-        share = float(np.average(share * own / np.maximum(both, 1e-300), weights=c * many))
-    return model | {"share": min(max(share, 0.0), 0.999), "total": float(max(1, total)), "tokens": int(total), "distinct": int(distinct), "end": (ends + 0.5) / (total + 1)}
+    start = learn(n0, n1, x, offs, c * many)["weights"]
+    size = F.octet_length("word") + 1
+    mean = plain.agg(F.sum(F.col("c") * size) / F.sum(size)).first()[0] or 1.0
+    model = learn_all(plain.select("word", "c").coalesce(partitions(distinct, TASK_WORDS // 10)), n0, n1, start, mean, total)
+    return model | {"total": float(max(1, total)), "tokens": int(total), "distinct": int(distinct), "end": (ends + 0.5) / (total + 1)}
 
 
 def token_logs(words: DataFrame, model: dict) -> DataFrame:

@@ -98,3 +98,15 @@ def test_pairs_are_a_distribution(spark):
     for x in words:
         assert abs(sum(p[x, y] for y in words) - 1) < 1e-9
     assert p[b"b", b"a"] > 0.5 and p[b"b", b"b"] < 0.3
+
+
+def test_weights_are_learned_on_all_words(spark, monkeypatch):
+    """The size of the sample that the weights start from does not change the model."""
+    ship(spark)
+    words = lm.stage(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("explode(split(lower(text), ' ')) AS w").groupBy("w").count().selectExpr("cast(w AS binary) AS word", "count AS c"), "test_words")
+    one = lm.train(words)
+    monkeypatch.setattr(lm, "SAMPLE", 200)
+    monkeypatch.setattr(lm, "HEAD", 50)
+    other = lm.train(words)
+    assert np.abs(one["weights"] - other["weights"]).max() < 0.02 and abs(one["share"] - other["share"]) < 1e-3
+    assert np.abs(one["slots"] - other["slots"]).max() < 0.1 and np.abs(one["apm"] - other["apm"]).max() < 0.1
