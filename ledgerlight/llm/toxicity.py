@@ -201,52 +201,78 @@ def tops(text: pa.Array, table: np.ndarray, bias: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 3))
 
 
-def fit(texts: list[str], labels: list[int], base_rate: float | None = None, rounds: int = 3, seed: int = 11) -> dict:
+def _vocabulary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different strings of the texts, one after the other, their starts and ends; and each text with each of its strings once (text, string)."""
+    parts, docs, keys = [], [], []
+    for lo, _, buf, offs in tv.slices(_prepare(texts)):
+        s, e, doc = strings(buf, offs)
+        joined, of = spaced_out(buf, offs)
+        n = np.array([len(w) for w in joined], np.int64)
+        end = len(buf) + np.cumsum(n)
+        buf = np.r_[buf, np.frombuffer(b"".join(joined), np.uint8)]
+        s, e, doc = np.r_[s, end - n], np.r_[e, end], np.r_[doc, of]
+        h = tv.hashes(buf, s, e)
+        o = np.lexsort((h, doc))
+        o = o[np.r_[True, (h[o][1:] != h[o][:-1]) | (doc[o][1:] != doc[o][:-1])]] if len(o) else o
+        docs.append(doc[o] + lo)
+        keys.append(h[o])
+        u, rep = np.unique(h, return_index=True)
+        at, size = tv.take_ranges(s[rep], e[rep])
+        parts.append((u, buf[at], np.diff(size)))
+    if not parts:
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), z, z, z, z
+    h, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    end = np.cumsum(size)
+    u, rep = np.unique(h, return_index=True)
+    return np.concatenate([p[1] for p in parts]), (end - size)[rep], end[rep], np.concatenate(docs), np.searchsorted(u, np.concatenate(keys))
+
+
+def fit(texts: pa.Array | list[str], labels: list[int], base_rate: float | None = None, rounds: int = 3, seed: int = 11) -> dict:
     """Trains on labelled texts; deterministic. base_rate: the share of toxic rows among all labelled ones (by default: in the sample)."""
-    y = np.array([int(x) for x in labels])
+    texts, y = pa.array(texts, pa.string()), np.array([int(x) for x in labels], np.int64)
     if not len(y) or y.min() == y.max():
         return {"table": np.zeros(1 << TABLE_BITS, np.float32), "bias": 0.0, "calibration": np.array([0.0, 0.0, 0.0, -50.0])}
-    bags: list[list[bytes]] = []
-    for t in texts:
-        buf, offs = np.frombuffer((t or "").lower().encode("utf-8", "replace"), np.uint8), None
-        offs = np.array([0, len(buf)])
-        s, e, _ = strings(buf, offs)
-        raw = buf.tobytes()
-        bags.append(sorted({raw[a:b] for a, b in zip(s, e, strict=True)} | set(spaced_out(buf, offs)[0])))
-    vocab = sorted({w for b in bags for w in b})
-    number = {w: k for k, w in enumerate(vocab)}
-    ids = [np.array([number[w] for w in b], np.int64) for b in bags]
-    df = [np.bincount(np.concatenate([ids[k] for k in np.flatnonzero(y == c)] or [np.zeros(0, np.int64)]), minlength=len(vocab)) for c in (0, 1)]
+    buf, s, e, doc, string = _vocabulary(texts)
+    word = lambda k: buf[s[k] : e[k]].tobytes()
+    toxic = y[doc] == 1
+    df = [np.bincount(string[~toxic], minlength=len(s)), np.bincount(string[toxic], minlength=len(s))]
     odds = np.log((df[1] + 0.3) / (y.sum() + 0.6)) - np.log((df[0] + 0.3) / ((1 - y).sum() + 0.6))
     rng = np.random.default_rng(seed)
     score, table, bias = np.where(df[1] > 1, odds, np.minimum(odds, 0.0)), None, 0.0
-    floor, least = 1.0, 1 + (y.sum() >= 100) + (y.sum() >= 500)
-    pos_docs = [k for k in np.flatnonzero(y == 1) if len(ids[k])]
     for r in range(rounds):
-        chosen = np.unique(np.concatenate([i[(score[i] >= floor) & (df[0][i] * 4 <= df[1][i]) & (df[1][i] >= least)] if r else i[np.argsort(-score[i], kind="stable")[:2]] for i in (ids[k] for k in pos_docs)]))
-        chosen = chosen[score[chosen] > (0.5 if not r else 0.0)]
+        d, k = doc[toxic], string[toxic]
+        if not r:  # the two strings of each toxic text that speak most for the class
+            o = np.lexsort((k, -score[k], d))
+            first = np.flatnonzero(np.r_[True, d[o][1:] != d[o][:-1]]) if len(o) else np.zeros(0, np.int64)
+            chosen = np.unique(k[o[np.unique(np.r_[first, np.minimum(first + 1, len(o) - 1)])]])
+            chosen = chosen[score[chosen] > 0.5]
+        else:  # all that the machine takes for toxic and that the labels bear out
+            chosen = np.unique(k[(score[k] > 0) & (df[0][k] * 4 <= df[1][k]) & (df[1][k] > 1)])
         if not len(chosen):
             break
-        neg = np.flatnonzero((df[0] > 0) & ~np.isin(np.arange(len(vocab)), chosen))
+        neg = np.flatnonzero((df[0] > 0) & ~np.isin(np.arange(len(s)), chosen))
         hard = neg[np.argsort(-score[neg], kind="stable")[:6000]]
         neg = np.unique(np.r_[hard, rng.choice(neg, min(len(neg), 14_000), replace=False), neg[np.argsort(-df[0][neg], kind="stable")[:2000]]])
         marks = np.unique(np.r_[chosen[np.argsort(-df[1][chosen], kind="stable")[: LANDMARKS // 2]], rng.choice(neg, min(len(neg), LANDMARKS // 2), replace=False)])
-        lt = _landmark_table([vocab[k] for k in marks])
-        bent = [v for k in chosen for v in _bent(vocab[k])]
-        rows = [vocab[k] for k in chosen] + bent + [vocab[k] for k in neg]
-        z = np.concatenate([project(*_features(rows[k : k + 2000]), lt).astype(np.float32) for k in range(0, len(rows), 2000)])
-        values, vectors = np.linalg.eigh(project(*_features([vocab[k] for k in marks]), lt))
+        lt = _landmark_table([word(k) for k in marks])
+        bent = [v for k in chosen for v in _bent(word(k))]
+        z = [project(*_flat(buf, s[at], e[at]), lt).astype(np.float32) for own in (chosen, neg) for at in np.array_split(own, -(-len(own) // 2000))]
+        z.insert(-(-len(chosen) // 2000), np.concatenate([project(*_features(bent[k : k + 2000]), lt).astype(np.float32) for k in range(0, len(bent), 2000)]))
+        values, vectors = np.linalg.eigh(project(*_flat(buf, s[marks], e[marks]), lt))
         root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-        n_pos, seen = len(chosen) + len(bent), np.minimum(df[1][chosen], 20.0)
+        n_pos = len(chosen) + len(bent)
+        # a string weighs by the toxic texts that have it beyond what chance would give
+        seen = np.minimum(df[1][chosen], 20.0) * np.clip(odds[chosen] / 4, 0.1, 1.0)
         yy = np.r_[np.ones(n_pos), -np.ones(len(neg))]
         weight = np.r_[seen, np.repeat(seen, 4) / 4, np.minimum(df[0][neg], 20.0)]
         weight[:n_pos] *= 0.5 * weight.sum() / weight[:n_pos].sum()
-        w, bias = _svm(z @ root, yy, weight / weight.mean())
+        w, bias = _svm(np.concatenate(z) @ root, yy, weight / weight.mean())
         table = (lt @ (root @ w)).astype(np.float32)
-        score, floor = np.concatenate([project(*_features(vocab[k : k + 20_000]), table) for k in range(0, len(vocab), 20_000)]) + bias, 0.0
+        score = np.concatenate([project(*_flat(buf, s[k : k + 20_000], e[k : k + 20_000]), table) for k in range(0, len(s), 20_000)]) + bias
     if table is None:
         table = np.zeros(1 << TABLE_BITS, np.float32)
-    top = tops(pa.array([t or "" for t in texts]), table, bias)
+    top = tops(texts, table, bias)
     rate = base_rate if base_rate is not None else y.mean()
     weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
     return {"table": table, "bias": float(bias), "calibration": _logistic(np.clip(top, _LOWEST, 2.0), y, weight)}
@@ -259,17 +285,30 @@ def predict(text: pa.Array, model: dict) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", learn=None, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict:
-    """Fits on labelled rows: per class the first sample_rows in the order of a hash of the key, of texts with sample_chars characters at most. learn: condition on labels' rows."""
+    """Fits on labelled rows: per class the first sample_rows in the order of a hash of the key, of texts with sample_chars characters at most. learn: condition on labels' rows.
+
+    One task on an executor gathers this bounded sample and fits; the driver gets the machine's table and four numbers.
+    """
     lab = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     lab = (lab if learn is None else lab.filter(learn)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     n = {r["_y"]: r["n"] for r in lab.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     part = lambda c: lab.filter(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     few = part(0).unionByName(part(1))
     text = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("_text")).filter(F.length("_text") <= sample_chars)
-    rows = text.join(F.broadcast(few), F.col("_of") == F.col("_id")).select("_id", "_y", "_text").toArrow()
-    rows = rows.sort_by([("_id", "ascending"), ("_text", "ascending")])
+    rows = text.join(F.broadcast(few), F.col("_of") == F.col("_id")).select(F.col("_id").cast("string"), "_y", "_text")
     total = n.get(0, 0) + n.get(1, 0)
-    return fit(rows["_text"].to_pylist(), rows["_y"].to_pylist(), n.get(1, 0) / total if total else None)
+    rate = n.get(1, 0) / total if total else None
+
+    def run(batches):
+        found = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, ["_id", "_y", "_text"]) for b in batches], pa.schema([("_id", pa.string()), ("_y", pa.int32()), ("_text", pa.string())]))
+        found = found.sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
+        model = fit(found["_text"].combine_chunks(), found["_y"].to_pylist(), rate)
+        yield pa.RecordBatch.from_arrays([pa.array([model["table"].tobytes()], pa.binary()), pa.array([model["bias"]]), pa.array([model["calibration"].tobytes()], pa.binary())], ["machine", "bias", "calibration"])
+
+    made = rows.repartition(1).mapInArrow(run, "machine binary, bias double, calibration binary").first()
+    if made is None:
+        return fit([], [])
+    return {"table": np.frombuffer(made["machine"], np.float32), "bias": made["bias"], "calibration": np.frombuffer(made["calibration"])}
 
 
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
