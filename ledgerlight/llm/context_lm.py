@@ -1,22 +1,23 @@
-"""Language-model scores by logistic context mixing of hashed-context bit predictors.
+"""Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-A text is a sequence of words and one end. A word is coded bit by bit, with a space as its last byte. Six predictors look
-at the bits of the byte so far, in the context of the last 0 to 4 bytes of the word and of the whole word so far, hashed into
-tables of fixed sizes. A predictor's log-odds come from the counts of zeros and ones that its slot has seen; a weight, chosen (gated) by
-the predictor and by how much its slot has seen, multiplies them; the sum is the mixed log-odds. The weights are learned online, word after
-word, on a sample, and from there by Newton steps whose gradients and curvatures are summed over all learning words, against counts from which that word itself is left out. An adaptive map from the mixed log-odds and the bits so far then corrects
-what is still biased. The word's own count joins as one more predictor of whole words, with a fitted share.
+A text is its words in lower case, each with a space after it, and one end. Its bytes are coded bit by bit. Six predictors look at the
+bits of the byte so far in the context of the last 0 to 5 bytes, over spaces and words, hashed into tables. A slot's counts of zeros and ones
+give the predictor's log-odds; a weight, chosen (gated) by the predictor and by how much and how evenly its slot has seen, multiplies them; the sum is the mixed
+log-odds, which an adaptive map corrects for the bits so far.
 
-The bit predictors' contexts end at the word. The text's order enters by the last predictor, of whole words and ends after the word before them (after an
-end at a text's start): the count of the pair over the count of its first word. Its share is gated by how often that first word was seen and by
-how many different words followed it; the shares are fitted over all pairs of the learning documents, with each pair's own occurrence left out.
+A long-range predictor goes first. Words whose hash ends in four zero bits close a chunk (16 words on average). Before each chunk
+but a text's first, one bit says whether it is the chunk that followed the chunk before it most often in the learning documents; an adaptive map of hits and misses gives that bit's
+probability. Only if the bit is zero, or no such chunk is known, is the chunk coded byte by byte.
 
-All counts cover all words and all pairs of all learning documents. Words, pairs and counts stay distributed: a score is computed once for each different pair,
-and joined to the pairs of each batch of documents, which travel as posting lists; texts are never shuffled. Weights, map and shares are fitted in passes over all
-learning words. What reaches the driver is bounded: the tables, each task's sums, and a sample of words for the weights' first values.
+Learning: each task counts bits over its documents block after block, learns weights and map online from each block's bits against counts
+without the occurrence itself, and hands on its tables; counts are added up, weights averaged by bytes. Chunk counts are a distributed table, joined by key. All counts cover all learning
+documents. A learning document is scored against counts without its own occurrence of each bit and chunk, so its score compares with those of held-out ones.
 
-Defined results: null and empty texts are one end after an end; without learning documents every probability of a bit is one half and an end has one half; repeated
-rows count and score each; a null id has the empty text as its key for the split.
+Bounds: the tables' slots follow the number of different words, up to 2**MOST_BITS for a context, since every task holds them (two bytes a slot when
+scoring); beyond that contexts share slots. What the driver sees are these tables, and sums.
+
+Defined results: null and empty texts are one end; without learning documents every bit has probability one half; repeated rows count and score each; a null id
+has the empty text as its key for the split; very long texts are worked on in blocks of bytes; extra columns of any name are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,483 +29,534 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import partitions, remainder, stage
-
-#: Slots of the tables by context: 0, 1, 2, 3, 4 bytes, whole word so far.
-BITS = (8, 16, 18, 19, 19, 20)
-#: Bounds of the sample that the weights start from: words by hash, words by count.
-SAMPLE, HEAD = 20_000, 4_000
-#: Different words that a task counts bits of, at least.
-TASK_WORDS = 1_000_000
-GATES, PRIOR = 12, 0.4
-#: Newton steps over all words at most, and the change of a weight that ends them; steps of the ratio (quarters of a power of two) that the share is fitted on.
-STEPS, ENOUGH, RATIOS = 6, 0.01, 4000
-_SHIFT = np.cumsum([0, *(1 << b for b in BITS)])
+from .common import remainder, stage
+
+#: Orders of the byte contexts; slots of the first two are exact, the others are 2**bits of a hash, with bits from the vocabulary's between these bounds.
+ORDERS = 6
+LEAST_BITS, MOST_BITS = 16, 22
+GATES, PRIOR, RATE = 24, 0.4, 0.05
+#: A word closes a chunk if these bits of its hash are zero.
+CHUNK_MASK = np.uint64(15)
+#: Bytes that are worked on at once; different byte strings after which a task learns from what it has counted.
+BLOCK, LEARN_AT = 1 << 21, 3 << 20
+#: Slots of a table row on its way to the sum.
+CELL = 1 << 14
+#: Words whose counts every task knows; the others' are joined.
+FREQUENT = 1 << 16
 _END = np.uint64(0x5851F42D4C957F2D)
-#: Key of a batch's own row among the keys of pairs.
-_OWN = np.uint64(0x14057B7EF767814F)
-#: Steps of the number of occurrences and of the variety of what follows, by which the shares of pairs are gated.
-SEEN_GATES, VARIETY = 32, 4
-_K = np.uint32(0x9E3779B1)
+_OWN = np.int64(0x14057B7EF767814F)
+_CHUNK = np.uint64(0x2545F4914F6CDD1D)
+_LEARN = np.uint64(1 << 63)
+#: Steps of hits and of misses by which the map of the long-range predictor goes.
+LEVELS = 18
+#: Steps that a task learns its weights in, where it has few byte strings.
+STEPS = 256
+#: Splits of the input that a learning task takes, where there are enough for all cores: it hands on its tables once.
+SPLITS = 4
+
+
+# Counts as levels: exact to 31, then steps of 1/16 of a power of two.
+def _levels() -> tuple[np.ndarray, np.ndarray]:
+    centre = np.r_[np.arange(32.0), 2.0 ** (5 + np.arange(1, 225) / 16)]
+    of = np.minimum(np.searchsorted(np.sqrt(centre[:-1] * np.maximum(centre[1:], 1)) + (centre[:-1] < 31) * 0.5, np.arange(65536), "right"), 255)
+    of[:32] = np.arange(32)
+    return centre, of.astype(np.uint8)
+
+
+CENTRE, LEVEL = _levels()
+_N0, _N1 = (x.ravel() for x in np.meshgrid(CENTRE, CENTRE, indexing="ij"))
+#: By state (level of zeros, level of ones): log-odds, gate, and the state without one zero or one one.
+STRETCH = np.log((_N1 + PRIOR) / (_N0 + PRIOR)).astype(np.float32)
+GATE = (np.minimum(np.log2(_N0 + _N1 + 1).astype(np.int64), GATES // 2 - 1) * 2 + (np.minimum(_N0, _N1) > 0)).astype(np.int64)
+_down = np.r_[0, np.arange(31), 31, np.arange(32, 255)].astype(np.int64)[:256]
+_down[1:32] = np.arange(31)
+_down[32:] = np.arange(32, 256)
+WITHOUT = [((_down[np.arange(65536) >> 8] << 8) | (np.arange(65536) & 255)).astype(np.uint16), ((np.arange(65536) & 0xFF00) | _down[np.arange(65536) & 255]).astype(np.uint16)]
+
+#: The same by state, state without one zero, and state without one one.
+GATE3, STRETCH3 = (np.concatenate([x, x[WITHOUT[0]], x[WITHOUT[1]]]) for x in (GATE, STRETCH))
+
+
+def table_bits(distinct: int) -> tuple[int, ...]:
+    """log2 of the slots of each order for so many different words."""
+    n = max(1, int(distinct)).bit_length()
+    return (8, 16, *(int(np.clip(n + k, LEAST_BITS, MOST_BITS + min(k, 0) * 1)) for k in (-2, -1, 0, 1)))
+
+
+def shifts(bits: tuple[int, ...]) -> np.ndarray:
+    return np.cumsum([0, *(1 << b for b in bits)])
+
+
+def slots(key: np.ndarray, node: np.ndarray, bits: tuple[int, ...], at: np.ndarray):
+    """Each order's slot, in one numbering over all tables, for byte strings (the last 5 bytes and the byte itself) and the bits so far (node: 1 and then those bits)."""
+    yield node.astype(np.int64)
+    yield (((key >> np.uint64(8)) & np.uint64(255)) << np.uint64(8) | node).astype(np.int64) + at[1]
+    own = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(2, ORDERS):
+        c = (key >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)
+        h = (c * np.uint64(0xD1342543DE82EF95) + own) * np.uint64(0x7FB5D329728EA185)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x81DADEF4BC2DD44D)
+        yield (h >> np.uint64(64 - bits[k])).astype(np.int64) + at[k]
+
+
+def bit_steps(byte: np.ndarray):
+    """For each of the eight bits: the bits so far, and the bit."""
+    node = np.ones(len(byte), np.uint64)
+    for k in range(7, -1, -1):
+        bit = (byte >> np.uint64(k)) & np.uint64(1)
+        yield node, bit
+        node = (node << np.uint64(1)) | bit
 
 
-def _flat(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, offs = tv.take_ranges(s, e + 1)
-    x = buf[np.minimum(at, max(0, len(buf) - 1))].copy() if len(buf) else np.zeros(0, np.uint8)
-    x[offs[1:] - 1] = 0x20
-    return x, offs
+def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Two bytes for each slot: the levels of its counts of zeros and ones. Counts beyond 65535 are scaled together."""
+    out = np.empty(len(n0), np.uint16)
+    for lo in range(0, len(n0), 1 << 20):
+        a, b = n0[lo : lo + (1 << 20)].astype(np.float64), n1[lo : lo + (1 << 20)].astype(np.float64)
+        scale = np.maximum(1.0, np.maximum(a, b) / 65535)
+        small = lambda x: np.where(x > 0, np.maximum(np.rint(x / scale), 1), 0).astype(np.int64)
+        out[lo : lo + (1 << 20)] = (LEVEL[small(a)].astype(np.uint16) << 8) | LEVEL[small(b)]
+    return out
 
 
-def contexts(x: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Hash of each predictor's context at each byte of the words (each with its last space)."""
-    n = len(x)
-    at = np.arange(n) - np.repeat(offs[:-1], np.diff(offs))
-    out, sofar = [np.zeros(n, np.uint32)], np.zeros(n, np.uint32)
-    for k in range(1, 5):
-        before = np.zeros(n, np.uint32)
-        before[k:] = x[:-k]
-        sofar = sofar | (np.where(at >= k, before, 0).astype(np.uint32) << np.uint32(8 * (k - 1)))
-        out.append(sofar.copy())
-    p = tv.prefix(x)
-    whole = tv.mix64((p[:-1] - np.repeat(p[offs[:-1]], np.diff(offs))) * np.repeat(tv.powers(n + 1)[1][offs[:-1]], np.diff(offs)) + at.astype(np.uint64))
-    return [*out, (whole >> np.uint64(32)).astype(np.uint32)]
-
-
-def slots(ctx: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """Each predictor's slot, in one numbering over all tables, for the bits so far (node: 1 and then those bits)."""
-    out = []
-    for k, (c, bits) in enumerate(zip(ctx, BITS, strict=True)):
-        if k < 2:
-            at = (c << np.uint32(8)) | node
-        else:
-            h = (c ^ (node * np.uint32(0x85EBCA6B))) * _K
-            h ^= h >> np.uint32(15)
-            at = (h * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
-        out.append(at.astype(np.int64) + _SHIFT[k])
+def _place(node: np.ndarray, st: np.ndarray) -> np.ndarray:
+    return node.astype(np.int64) * 48 + np.clip(np.rint(st * 2) + 24, 0, 47).astype(np.int64)
+
+
+def squash(st: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(st, -25, 25)))
+
+
+class Counts:
+    """What one task learns: bit counts, weights, adaptive map."""
+
+    def __init__(self, bits: tuple[int, ...]):
+        self.bits, self.at = bits, shifts(bits)
+        self.n = np.zeros(2 * self.at[-1], np.uint32)  # zeros and ones of each slot, side by side
+        self.w, self.grad2 = np.full((ORDERS, GATES), 0.3), np.full((ORDERS, GATES), 1e-2)
+        self.hit, self.seen = np.zeros(256 * 48), np.zeros(256 * 48)
+        self.bytes, self.pending, self.size = 0, [], 0
+
+    def add(self, key: np.ndarray) -> None:
+        """Byte strings of learning documents."""
+        if not len(key):
+            return
+        self.bytes += len(key)
+        self.pending.append(_counted(np.sort(key)))
+        self.size += len(self.pending[-1][0])
+        if self.size > LEARN_AT:
+            self._merge()
+            if self.size > LEARN_AT // 2:
+                self.learn()
+
+    def _merge(self) -> None:
+        k, n = (np.concatenate(x) for x in zip(*self.pending, strict=True))
+        o = np.argsort(k, kind="stable")
+        k, n = k[o], n[o]
+        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        self.pending = [(k[cut], np.add.reduceat(n, cut))]
+        self.size = len(cut)
+
+    def learn(self) -> None:
+        """Counts the bits of what is pending, then steps through it in the order of a hash."""
+        if not self.pending:
+            return
+        self._merge()
+        (key, n), self.pending, self.size = self.pending[0], [], 0
+        n32 = n.astype(np.uint32)
+        for node, bit in bit_steps(key & np.uint64(255)):
+            for at in slots(key, node, self.bits, self.at):
+                np.add.at(self.n, 2 * at + bit.astype(np.int64), n32)
+        state = states(self.n[::2], self.n[1::2])
+        o = np.argsort(tv.mix64(key))
+        key, n = key[o], n[o].astype(np.float64)
+        self._steps(key, n, state, int(np.clip(len(key) // STEPS, 256, 4096)))
+
+    def _steps(self, key: np.ndarray, n: np.ndarray, state: np.ndarray, batch: int) -> None:
+        for lo in range(0, len(key), batch):
+            k, c = key[lo : lo + batch], n[lo : lo + batch]
+            g, table = np.zeros(ORDERS * GATES), lookup(self.w)
+            for node, bit in bit_steps(k & np.uint64(255)):
+                own, found, mixed = (bit.astype(np.int64) + 1) << 16, [], np.zeros(len(k), np.float32)
+                for j, at in enumerate(slots(k, node, self.bits, self.at)):
+                    found.append(state[at] + own)
+                    mixed += table[j][found[-1]]
+                err = c * (bit - squash(mixed))
+                for j, s in enumerate(found):
+                    g += np.bincount(GATE3[s] + j * GATES, err * STRETCH3[s], minlength=ORDERS * GATES)
+                place = _place(node, mixed)
+                self.hit += np.bincount(place, c * bit, minlength=256 * 48)
+                self.seen += np.bincount(place, c, minlength=256 * 48)
+            g = g.reshape(ORDERS, GATES)
+            self.grad2 += g * g
+            self.w += RATE * g / np.sqrt(self.grad2)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values of a sorted array and how often each stands there."""
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[cut], np.diff(np.r_[cut, len(key)])
+
+
+def adaptive(hit: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """What to add to the mixed log-odds at each place of the map."""
+    centre = (np.tile(np.arange(48), 256) - 24) / 2.0
+    p = (hit + 50.0 * squash(centre)) / (seen + 50.0)
+    return (np.log(p / (1 - p)) - centre).astype(np.float32)
+
+
+def lookup(w: np.ndarray) -> np.ndarray:
+    """Weighted log-odds by order and state; behind them those without one zero, and without one one."""
+    return (w.astype(np.float32)[:, GATE3] * STRETCH3).astype(np.float32)
+
+
+def byte_logs(key: np.ndarray, learned: np.ndarray, model: dict) -> np.ndarray:
+    """Natural logarithm of the mixed probability of each byte string's last byte; learned: whether its own occurrence was counted."""
+    out, at, table = np.zeros(len(key)), shifts(model["bits"]), model["lookup"]
+    for node, bit in bit_steps(key & np.uint64(255)):
+        mixed = np.zeros(len(key), np.float32)
+        own = np.where(learned, (bit.astype(np.int64) + 1) << 16, 0)
+        for k, slot in enumerate(slots(key, node, model["bits"], at)):
+            mixed += table[k][model["states"][slot] + own]
+        st = mixed + np.float32(0.5) * model["map"][_place(node, mixed)]
+        out -= np.logaddexp(0.0, np.where(bit == 1, -st, st))
     return out
 
 
-def bit_steps(x: np.ndarray):
-    """For each of the eight bits: the bits so far, and the bit."""
-    node = np.ones(len(x), np.uint32)
-    for k in range(7, -1, -1):
-        bit = (x >> k) & 1
-        yield node, bit
-        node = (node << np.uint32(1)) | bit
+def tokens(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of a run of documents in order, each text's end included: starts, ends (equal for an end), hashes, documents."""
+    s, e, first = tv.words(buf, offs)
+    n = len(offs) - 1
+    size = np.diff(first) + 1
+    word = np.ones(len(s) + n, bool)
+    word[np.cumsum(size) - 1] = False
+    ts, te, h = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), np.full(len(word), _END)
+    ts[word], te[word], h[word] = s, e, tv.hashes(buf, s, e)
+    return ts, te, h, np.repeat(np.arange(n), size)
 
 
-def _logodds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + PRIOR) / (n0 + PRIOR))
+def coded(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that are coded, tokens one after the other, and the tokens' offsets."""
+    at, offs = tv.take_ranges(s, e + 1)
+    x = buf[np.minimum(at, max(0, len(buf) - 1))] if len(buf) else np.zeros(len(at), np.uint8)
+    x[offs[1:] - 1] = np.where(e > s, 0x20, 0x0A)
+    return x, offs
 
 
-def _gate(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(n + 1).astype(np.int64), GATES - 1)
+def byte_strings(x: np.ndarray, begin: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """For each position in [lo, hi) the byte and the 5 bytes before it in its text, as one integer. begin: the texts' first positions, in order."""
+    back = min(5, lo)
+    y = np.zeros(hi - lo + 5, np.uint64)
+    y[5 - back :] = x[lo - back : hi]
+    two = y[1:] | (y[:-1] << np.uint64(8))
+    four = two[2:] | (two[:-2] << np.uint64(16))
+    key = four[2:] | (two[:-4] << np.uint64(32))
+    first = begin[np.searchsorted(begin, lo - 5) : np.searchsorted(begin, hi)]
+    for k in range(5):  # nothing before a text's start
+        at = first + k - lo
+        at = at[(at >= 0) & (at < hi - lo)]
+        key[at] &= np.uint64((1 << (8 * (k + 1))) - 1)
+    return key
+
+
+def chunks(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token of each chunk, its hash, and whether it opens its text."""
+    if not len(h):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    close = (h & CHUNK_MASK) == 0
+    close |= h == _END
+    first = np.flatnonzero(np.r_[True, close[:-1]])
+    up, down = tv.powers(len(h) + 1)
+    p = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=p[1:])
+    end = np.r_[first[1:], len(h)]
+    value = tv.mix64((p[end] - p[first]) * down[first] + (end - first).astype(np.uint64))
+    return first, value, np.r_[True, doc[first[1:]] != doc[first[1:] - 1]]
+
+
+def _before(value: np.ndarray) -> np.ndarray:
+    """Each chunk's context: the chunk before it."""
+    return tv.mix64(np.r_[np.uint64(0), value[:-1]] ^ _CHUNK)
 
 
-def _apm_place(node: np.ndarray, st: np.ndarray) -> np.ndarray:
-    return node.astype(np.int64) * 48 + np.clip(np.rint(st * 2) + 24, 0, 47).astype(np.int64)
+def _parts(text: pa.Array):
+    """For runs of a batch's rows: first and end row, lower-case bytes, and tokens."""
+    for lo, hi, buf, offs in tv.slices(text, BLOCK):
+        buf = tv.lower_ascii(buf)
+        yield lo, hi, buf, *tokens(buf, offs)
 
 
-def _inputs(n0: np.ndarray, n1: np.ndarray, x: np.ndarray, offs: np.ndarray):
-    """For each of the eight bits: each predictor's log-odds without this occurrence, its gate; the bit, the bits so far."""
-    ctx = contexts(x, offs)
-    for node, bit in bit_steps(x):
-        st, gates = np.empty((len(BITS), len(x)), np.float32), np.empty((len(BITS), len(x)), np.int64)
-        for k, at in enumerate(slots(ctx, node)):
-            a, b = np.maximum(n0[at] - (bit == 0), 0), np.maximum(n1[at] - (bit == 1), 0)
-            st[k], gates[k] = _logodds(a, b), _gate(a + b)
-        yield st, gates, bit.astype(np.float64), node
+def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys (the first is the most important), and where in it a new combination begins."""
+    o = np.lexsort(keys[::-1])
+    new = np.zeros(len(o), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[o][1:] != k[o][:-1]
+    return o, np.flatnonzero(new)
 
 
-def _tables(n0: np.ndarray, n1: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Weighted log-odds of each slot."""
-    st = np.zeros(_SHIFT[-1], np.float32)
-    for k in range(len(BITS)):
-        part = slice(_SHIFT[k], _SHIFT[k + 1])
-        st[part] = w[k][_gate(n0[part] + n1[part])] * _logodds(n0[part], n1[part])
-    return st
+def _count(batches):
+    """Occurrences in learning documents of each word (f is null), and of each chunk after each context; out: those of the latter in other documents."""
+    for b in batches:
+        learn = np.asarray(b.column(1)).astype(np.int64)
+        for lo, _, _, _, _, h, doc in _parts(b.column(0)):
+            own = learn[doc + lo]
+            u, back = np.unique(h, return_inverse=True)
+            n = np.bincount(back, own, minlength=len(u)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.nulls(len(u), pa.int64()), pa.array(n), pa.nulls(len(u), pa.int64())], ["h", "f", "n", "out"])
+            first, value, opens = chunks(h, doc)
+            ctx, f, mine = _before(value)[~opens], value[~opens], own[first[~opens]]
+            o, cut = _grouped([ctx, f])
+            if len(cut):
+                n = np.add.reduceat(mine[o], cut)
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[o[cut]].view(np.int64)), pa.array(f[o[cut]].view(np.int64)), pa.array(n), pa.array(np.diff(np.r_[cut, len(o)]) - n)], ["h", "f", "n", "out"])
 
 
-def _apm(hit: np.ndarray, seen: np.ndarray, mean: float) -> np.ndarray:
-    centre = (np.tile(np.arange(48), 256) - 24) / 2.0
-    strength = 200.0 * max(mean, 1e-9)
-    p = (hit + strength / (1 + np.exp(-centre))) / (seen + strength)
-    return (np.log(p / (1 - p)) - centre).astype(np.float32)
+def _begins(offs: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where each text begins in the coded bytes."""
+    return offs[:-1][np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])] if len(doc) else np.zeros(0, np.int64)
 
 
-def learn(n0: np.ndarray, n1: np.ndarray, x: np.ndarray, offs: np.ndarray, weight: np.ndarray, block: int = 40) -> dict:
-    """Weights and adaptive map from sampled words in their given order. weight: how many words each stands for."""
-    n_pred = len(BITS)
-    w = np.full((n_pred, GATES), 0.3)
-    grad2 = np.full((n_pred, GATES), 1e-3)
-    per_byte, word = np.repeat(weight, np.diff(offs)), np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    inputs = list(_inputs(n0, n1, x, offs))
-    mean = np.average(np.ones(len(x)), weights=per_byte) * per_byte.mean() if len(x) else 1.0
-    scale = np.minimum(per_byte / max(mean, 1e-9), 30.0)
-    pred = np.arange(n_pred)[:, None]
-    for _ in range(2):
-        for lo in range(0, len(offs) - 1, block):
-            a, b = offs[lo], offs[min(lo + block, len(offs) - 1)]
-            g = np.zeros_like(w)
-            for st, gates, bit, _node in inputs:
-                s, q = st[:, a:b], gates[:, a:b]
-                err = scale[a:b] * (bit[a:b] - 1 / (1 + np.exp(-np.clip((w[pred, q] * s).sum(axis=0), -20, 20))))
-                np.add.at(g, (np.broadcast_to(pred, q.shape), q), err * s)
-            grad2 += g * g
-            w += 0.15 * g / np.sqrt(grad2)
-    hit, seen = np.zeros(256 * 48), np.zeros(256 * 48)
-    for st, gates, bit, node in inputs:
-        mixed = (w[pred, gates] * st).sum(axis=0)
-        at = _apm_place(node, mixed)
-        hit += np.bincount(at, per_byte * bit, minlength=256 * 48)
-        seen += np.bincount(at, per_byte, minlength=256 * 48)
-    model = {"slots": _tables(n0, n1, w), "apm": _apm(hit, seen, mean), "share": 0.0, "total": 0.0}
-    # the share of the word counts, by expectation steps against counts without one occurrence
-    raw = np.zeros(len(offs) - 1)
-    for stv, gates, bit, node in inputs:
-        mixed = (w[pred, gates] * stv).sum(axis=0)
-        raw += np.bincount(word, _bit_log(mixed, node, bit, model["apm"]), minlength=len(raw))
-    return model | {"sample_log": raw, "weights": w}
-
-
-def _word_sums(fit, size: int):
-    """Adds up fit(words' bytes, offsets, counts) over a task's words, as one row of `size` numbers."""
+def _learn(bits: tuple[int, ...]):
+    """Tables, weights and map of one task: cells of tables as 32-bit counts; cell -1 has the bytes learned from, the weights times these, and the map."""
 
     def run(batches):
-        sums = np.zeros(size)
+        counts, task = Counts(bits), TaskContext.get().partitionId()
         for b in batches:
-            c = np.asarray(b.column(1)).astype(np.float64)
-            data, s, e = _binary(b.column(0))
-            for lo in range(0, len(s), 20_000):
-                sums += fit(*_flat(data, s[lo : lo + 20_000], e[lo : lo + 20_000]), c[lo : lo + 20_000])
-        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+            for _, _, buf, s, e, _, doc in _parts(b.column(0)):
+                x, offs = coded(buf, s, e)
+                begin = _begins(offs, doc)
+                for lo in range(0, len(x), BLOCK):
+                    counts.add(byte_strings(x, begin, lo, min(len(x), lo + BLOCK)))
+        counts.learn()
+        if not counts.bytes:
+            return
+        cells = [np.r_[counts.bytes, (counts.w * counts.bytes).ravel(), counts.hit, counts.seen].tobytes()]
+        number = [-1]
+        for lo in range(0, counts.at[-1], CELL):
+            cell = counts.n[2 * lo : 2 * (lo + CELL)]
+            if cell.any():
+                cells.append(cell.tobytes())
+                number.append(lo // CELL)
+            if len(cells) == 64 or lo + CELL >= counts.at[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([task] * len(cells), pa.int64()), pa.array(cells, pa.binary())], ["cell", "task", "data"])
+                cells, number = [], []
 
     return run
 
 
-def learn_all(words: DataFrame, n0: np.ndarray, n1: np.ndarray, w: np.ndarray, mean: float, total: int) -> dict:
-    """Weights from w on, map, and share of the word's own count, from sums over all words (word, c)."""
-    n_pred, n_w, n_map = len(BITS), len(BITS) * GATES, 256 * 48
-    counts = words.sparkSession.sparkContext.broadcast((n0, n1))
-
-    def over_words(fit, size):
-        rows = words.mapInArrow(_word_sums(fit, size), "sums binary").collect()
-        return np.sum([np.frombuffer(r.sums) for r in rows], axis=0) if rows else np.zeros(size)
-
-    def newton(x, offs, c):
-        scale = np.minimum(np.repeat(c, np.diff(offs)) / max(mean, 1e-9), 30.0)
-        g, h = np.zeros(n_w), np.zeros(n_w * n_w)
-        for st, gates, bit, _node in _inputs(*counts.value, x, offs):
-            at = gates + np.arange(n_pred)[:, None] * GATES
-            p = 1 / (1 + np.exp(-np.clip((w.ravel()[at] * st).sum(axis=0), -20, 20)))
-            g += np.bincount(at.ravel(), (scale * (bit - p) * st).ravel(), minlength=n_w)
-            bend = scale * p * (1 - p)
-            for i in range(n_pred):
-                for j in range(i, n_pred):
-                    h += np.bincount(at[i] * n_w + at[j], bend * st[i] * st[j], minlength=n_w * n_w)
-        return np.r_[g, h]
-
-    for _ in range(STEPS):
-        sums = over_words(newton, n_w + n_w * n_w)
-        half = sums[n_w:].reshape(n_w, n_w)
-        full = half + half.T - np.diag(np.diag(half))
-        # weights are drawn to 0.3, so that gates with few words are settled too
-        step = np.clip(np.linalg.solve(full + np.eye(n_w), sums[:n_w] - (w.ravel() - 0.3)), -0.5, 0.5)
-        w = w + step.reshape(w.shape)
-        if np.abs(step).max() < ENOUGH:
-            break
-
-    def mapped(x, offs, c):
-        per_byte, out = np.repeat(c, np.diff(offs)), np.zeros((2, n_map))
-        for st, gates, bit, node in _inputs(*counts.value, x, offs):
-            at = _apm_place(node, (w[np.arange(n_pred)[:, None], gates] * st).sum(axis=0))
-            out += [np.bincount(at, per_byte * bit, minlength=n_map), np.bincount(at, per_byte, minlength=n_map)]
-        return out.ravel()
-
-    hit, seen = over_words(mapped, 2 * n_map).reshape(2, n_map)
-    apm = _apm(hit, seen, mean)
-
-    def ratios(x, offs, c):
-        word, log = np.repeat(np.arange(len(c)), np.diff(offs)), np.zeros(len(c))
-        for st, gates, bit, node in _inputs(*counts.value, x, offs):
-            log += np.bincount(word, _bit_log((w[np.arange(n_pred)[:, None], gates] * st).sum(axis=0), node, bit, apm), minlength=len(c))
-        with np.errstate(divide="ignore"):
-            r = (np.log2(np.maximum(c - 1, 0) / max(1, total - 1)) - log / np.log(2)) * 4
-        return np.bincount(np.where(c > 1, np.clip(np.rint(np.maximum(r, -RATIOS)), 1 - RATIOS, RATIOS) + RATIOS, 0).astype(np.int64), c, minlength=2 * RATIOS + 1)
-
-    n = over_words(ratios, 2 * RATIOS + 1)
-    r = np.r_[0.0, 2.0 ** ((np.arange(1, 2 * RATIOS + 1) - RATIOS) / 4.0)]
-    share = 0.5
-    for _ in range(30 if n.sum() else 0):
-        share = float(np.average(share * r / (share * r + 1 - share), weights=n))
-    counts.unpersist()
-    return {"slots": _tables(n0, n1, w), "apm": apm, "share": min(max(share, 0.0), 0.999), "weights": w}
-
-
-def _bit_log(mixed: np.ndarray, node: np.ndarray, bit: np.ndarray, apm: np.ndarray) -> np.ndarray:
-    st = mixed + 0.5 * apm[_apm_place(node, mixed)]
-    return -np.logaddexp(0.0, np.where(bit == 1, -st, st))
-
-
-def word_logs(x: np.ndarray, offs: np.ndarray, model: dict) -> np.ndarray:
-    """Natural logarithm of each word's mixed probability."""
-    out = np.zeros(len(offs) - 1)
-    if not len(out):
-        return out
-    ctx, table = contexts(x, offs), model["slots"]
-    total = np.zeros(len(x), np.float32)
-    for node, bit in bit_steps(x):
-        mixed = np.zeros(len(x), np.float32)
-        for at in slots(ctx, node):
-            mixed += table[at]
-        total += _bit_log(mixed, node, bit, model["apm"]).astype(np.float32)
-    return np.add.reduceat(total.astype(np.float64), offs[:-1])
-
-
-def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts and ends of a binary column."""
-    _, offs, data = column.buffers()
-    o = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), o[:-1], o[1:]
-
-
-def _hash_words(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hashes of words as `_parts` gives them."""
-    at, _ = tv.take_ranges(s, e)
-    end = np.cumsum(e - s)
-    return tv.hashes(data[at], end - (e - s), end)
+def _add_up(batches):
+    """Sums of the rows of each cell, which come one after the other in the order of their tasks; counts leave as states."""
+    now, total = None, None
 
+    def made():
+        data = total if now < 0 else states(total[::2], total[1::2])
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["cell", "data"])
 
-def _parts(text: pa.Array):
-    """For runs of a batch's rows: first row, lower-case bytes, words' starts and ends, hashes and documents, and the first word of each document."""
-    for lo, hi, buf, offs in tv.slices(text):
-        buf = tv.lower_ascii(buf)
-        s, e, first = tv.words(buf, offs)
-        yield lo, hi, buf, s, e, tv.hashes(buf, s, e), np.repeat(np.arange(lo, hi), np.diff(first))
+    for b in batches:
+        cells = np.asarray(b.column(0))
+        for k, c in enumerate(cells.tolist()):
+            data = np.frombuffer(b.column(2)[k].as_buffer(), np.float64 if c < 0 else np.uint32)
+            if c != now:
+                if now is not None:
+                    yield made()
+                now, total = c, np.zeros(len(data), np.float64 if c < 0 else np.uint64)
+            total += data
+    if now is not None:
+        yield made()
+
+
+def train(docs: DataFrame, distinct: int) -> dict:
+    """The byte model from the texts of learning documents (one column)."""
+    bits, splits = table_bits(distinct), docs.rdd.getNumPartitions()
+    few = docs.coalesce(max(1, min(splits, max(docs.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS)))))
+    rows = few.mapInArrow(_learn(bits), "cell int, task long, data binary").repartition("cell").sortWithinPartitions("cell", "task").mapInArrow(_add_up, "cell int, data binary").toArrow()
+    state, w, hit, seen = np.zeros(shifts(bits)[-1], np.uint16), np.full((ORDERS, GATES), 0.3), np.zeros(256 * 48), np.zeros(256 * 48)
+    for cell, data in zip(rows["cell"].to_pylist(), rows["data"], strict=True):
+        if cell < 0:
+            x = np.frombuffer(data.as_buffer())
+            n = ORDERS * GATES
+            w, hit, seen = x[1 : 1 + n].reshape(ORDERS, GATES) / x[0], x[1 + n : 1 + n + len(hit)], x[1 + n + len(hit) :]
+        else:
+            part = np.frombuffer(data.as_buffer(), np.uint16)
+            state[cell * CELL : cell * CELL + len(part)] = part
+    return {"bits": bits, "states": state, "lookup": lookup(w), "map": adaptive(hit, seen), "weights": w}
 
 
-def _in_order(h: np.ndarray, doc: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens of a run of documents in their order, each text's end included: the token before, the token, its document."""
-    size = np.bincount(doc - lo, minlength=hi - lo) + 1
-    token, word = np.full(len(h) + hi - lo, _END), np.ones(len(h) + hi - lo, bool)
-    word[np.cumsum(size) - 1] = False
-    token[word] = h
-    return np.r_[_END, token[:-1]], token, np.repeat(np.arange(lo, hi), size)
+def followers(counts: DataFrame) -> DataFrame:
+    """For each context that can help a document: the chunk that follows most often (f), how often (c), and all occurrences (total)."""
+    best = counts.filter(F.col("f").isNotNull()).groupBy("h").agg(F.max(F.struct("n", "f")).alias("top"), F.sum("n").alias("total"), F.sum("out").alias("out"))
+    return best.filter((F.col("total") > 1) | ((F.col("total") == 1) & (F.col("out") > 0))).select("h", F.col("top.n").alias("c"), F.col("top.f").alias("best"), "total")
 
 
-def _pair_keys(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return tv.mix64(before + tv.mix64(token ^ _OWN))
+def _level(n: Column) -> Column:
+    return F.least(F.floor(F.log2(n)), F.lit(LEVELS - 2)).cast("int")
 
 
-def _count_pairs(batches):
-    for b in batches:
-        learn_row = np.asarray(b.column(1))
-        for lo, hi, _, _, _, h, doc in _parts(b.column(0)):
-            before, token, row = _in_order(h, doc, lo, hi)
-            _, rep, back = np.unique(_pair_keys(before, token), return_index=True, return_inverse=True)
-            n = np.bincount(back, learn_row[row], minlength=len(rep)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(before[rep].view(np.int64)), pa.array(token[rep].view(np.int64)), pa.array(n)], ["before", "h", "n"])
+def flag_map(follow: DataFrame) -> np.ndarray:
+    """The probability that the following chunk is the expected one, by levels of hits and misses, over all occurrences in learning documents without the occurrence itself."""
+    seen = follow.filter("total > 1")
+    hits, misses = F.col("hits"), F.col("misses")
+    again = seen.select(F.greatest(F.col("c") - 1, F.lit(1)).alias("hits"), (F.col("total") - F.greatest(F.col("c"), F.lit(2))).alias("misses"), F.when(F.col("c") > 1, F.col("c")).otherwise(0).alias("hit"), F.col("c").alias("n"))
+    other = seen.select(F.col("c").alias("hits"), (F.col("total") - 1 - F.col("c")).alias("misses"), F.lit(0).cast("long").alias("hit"), (F.col("total") - F.col("c")).alias("n")).filter("n > 0")
+    at = again.unionByName(other).groupBy(_level(hits).alias("a"), F.when(misses < 1, F.lit(0)).otherwise(1 + _level(misses)).alias("b")).agg(F.sum("hit").alias("hit"), F.sum("n").alias("n"))
+    out = np.full((LEVELS, LEVELS), 0.5)
+    for r in at.collect():
+        out[r["a"], r["b"]] = (r["hit"] + PRIOR) / (r["n"] + 2 * PRIOR)
+    return out
 
 
-def _keys(batches):
-    for b in batches:
-        before, token = (np.asarray(b.column(k)).view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair_keys(before, token).view(np.int64)), *b.columns[2:]], ["h", *b.schema.names[2:]])
+def _flag(hits: np.ndarray, misses: np.ndarray, table: np.ndarray) -> np.ndarray:
+    level = lambda n: np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), LEVELS - 2)
+    return table[level(hits), np.where(misses < 1, 0, 1 + level(misses))]
+
+
+def chunk_costs(buf: np.ndarray, s: np.ndarray, e: np.ndarray, doc: np.ndarray, learn: np.ndarray, first: np.ndarray):
+    """Byte strings of a run of texts for `byte_logs`, for each block: different strings (with the highest bit where the text was learned from), and (string, chunk, times)."""
+    x, offs = coded(buf, s, e)
+    begin, starts, learned, lo = _begins(offs, doc), offs[first], learn[doc[first]], 0
+    while lo < len(x):
+        c = int(np.searchsorted(starts, lo, "right")) - 1
+        hi = min(len(x), lo + BLOCK, int(starts[c + 32767]) if c + 32767 < len(starts) else len(x))
+        turn = np.zeros(hi - lo, np.int64)
+        inside = starts[np.searchsorted(starts, lo, "right") : np.searchsorted(starts, hi)]
+        turn[inside - lo] = 1
+        of = np.cumsum(turn)
+        key = (byte_strings(x, begin, lo, hi) << np.uint64(15)) | of.astype(np.uint64) | np.where(learned[of + c], _LEARN, np.uint64(0))
+        key.sort()
+        pair, n = _counted(key)
+        string = (pair & ~np.uint64(32767)) >> np.uint64(15)
+        new = np.r_[True, string[1:] != string[:-1]]
+        yield string[new], np.cumsum(new) - 1, (pair & np.uint64(32767)).astype(np.int64) + c, n
+        lo = hi
+
+
+def _spelled(blocks: list, size: list[int], model: dict) -> list[np.ndarray]:
+    """The logarithm of each chunk's probability, spelled out. blocks: (number of the run, ...) as `chunk_costs` gives them; size: chunks of each run."""
+    out = [np.zeros(n) for n in size]
+    if blocks:
+        every = np.unique(np.concatenate([b[1] for b in blocks]))
+        strings, learned = every & np.uint64((1 << 48) - 1), every >= np.uint64(1 << 48)
+        log = np.concatenate([byte_logs(strings[k : k + (1 << 17)], learned[k : k + (1 << 17)], model) for k in range(0, len(every), 1 << 17)])
+        for run, string, at, chunk, n in blocks:
+            out[run] += np.bincount(chunk, log[np.searchsorted(every, string)][at] * n, minlength=size[run])
+    return out
 
 
-def _count_words(batches):
-    for b in batches:
-        learn_row = np.asarray(b.column(1))
-        for _, _, buf, s, e, h, doc in _parts(b.column(0)):
-            u, rep, back = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(back, learn_row[doc], minlength=len(u)).astype(np.int64)
-            x, offs = tv.take_ranges(s[rep], e[rep])
-            words = pa.Array.from_buffers(pa.binary(), len(u), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[x]))])
-            yield pa.RecordBatch.from_arrays([words, pa.array(n)], ["word", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([int(learn_row.sum())])], ["word", "n"])  # the end
-
-
-def _bit_counts(batches):
-    sums = np.zeros((2, _SHIFT[-1]))
-    for b in batches:
-        c = np.asarray(b.column(1)).astype(np.float64)
-        data, s, e = _binary(b.column(0))
-        for lo in range(0, len(s), 100_000):
-            x, offs = _flat(data, s[lo : lo + 100_000], e[lo : lo + 100_000])
-            per_byte, ctx = np.repeat(c[lo : lo + 100_000], np.diff(offs)), contexts(x, offs)
-            for node, bit in bit_steps(x):
-                for at in slots(ctx, node):
-                    for v in (0, 1):
-                        mine = bit == v
-                        np.add.at(sums[v], at[mine], per_byte[mine])
-    at = np.flatnonzero(sums.any(axis=0))
-    for lo in range(0, len(at), 200_000):
-        some = at[lo : lo + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[0][some].astype(np.int64)), pa.array(sums[1][some].astype(np.int64))], ["slot", "n0", "n1"])
-
-
-def train(words: DataFrame) -> dict:
-    """The model from the table of different words (word, c: occurrences in learning documents); the empty word is the end."""
-    seen, is_end = words.filter("c > 0"), F.octet_length("word") == 0
-    total, distinct, ends = seen.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(is_end, F.col("c")))).first()
-    total, distinct, ends = total or 0, distinct or 0, ends or 0
-    plain = seen.filter(~is_end).select("word", "c", F.xxhash64("word").alias("h"))
-    # a task sends its whole table, so it should have many words
-    table = plain.select("word", "c").coalesce(partitions(distinct, TASK_WORDS)).mapInArrow(_bit_counts, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    n0, n1 = np.zeros(_SHIFT[-1], np.float32), np.zeros(_SHIFT[-1], np.float32)
-    at = np.asarray(table["slot"])
-    n0[at], n1[at] = np.asarray(table["n0"]), np.asarray(table["n1"])
-    head = plain.orderBy(F.desc("c"), "h").limit(HEAD).toArrow()
-    tail = plain.orderBy("h", "word").limit(SAMPLE).toArrow()
-    common = set(head["h"].to_pylist())
-    mine = [(w, c, 1.0) for w, c in zip(head["word"].to_pylist(), head["c"].to_pylist(), strict=True)]
-    rest = [(w, c) for w, c, h in zip(tail["word"].to_pylist(), tail["c"].to_pylist(), tail["h"].to_pylist(), strict=True) if h not in common]
-    step = max(0, distinct - 1 - len(mine)) / max(1, len(rest))
-    mine += [(w, c, step) for w, c in rest]
-    mine.sort(key=lambda r: tv.hashes(np.frombuffer(r[0], np.uint8), np.array([0]), np.array([len(r[0])]))[0] if r[0] else 0)
-    sizes = np.array([len(w) for w, _, _ in mine], np.int64)
-    data, e = np.frombuffer(b"".join(w for w, _, _ in mine), np.uint8), np.cumsum(sizes)
-    x, offs = _flat(data, e - sizes, e)
-    c, many = np.array([r[1] for r in mine], np.float64), np.array([r[2] for r in mine], np.float64)
-    start = learn(n0, n1, x, offs, c * many)["weights"]
-    size = F.octet_length("word") + 1
-    mean = plain.agg(F.sum(F.col("c") * size) / F.sum(size)).first()[0] or 1.0
-    model = learn_all(plain.select("word", "c").coalesce(partitions(distinct, TASK_WORDS // 10)), n0, n1, start, mean, total)
-    return model | {"total": float(max(1, total)), "tokens": int(total), "distinct": int(distinct), "end": (ends + 0.5) / (total + 1)}
-
-
-def token_logs(words: DataFrame, model: dict) -> DataFrame:
-    """h (the word's hash), c and the decimal logarithm of the model's probability of each different token."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+def _postings(shared):
+    """For each batch of documents (a unit): its own row with what is known without a join; for each other word and each (context, chunk) the rows that have it."""
+    names = ["unit", "h", "f", "rows"]
+
+    def lists(unit, o, cut, h, f, flat):
+        ends = np.r_[cut, len(o)].astype(np.int64) * flat.shape[1] * flat.itemsize
+        data = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat[o]).view(np.uint8).ravel())])
+        key = [pa.array(np.full(len(cut), unit)), pa.array(h[o[cut]].view(np.int64)), pa.nulls(len(cut), pa.int64()) if f is None else pa.array(f[o[cut]].view(np.int64)), data]
+        for k in range(0, len(cut), 50_000):
+            yield pa.RecordBatch.from_arrays([x.slice(k, 50_000) for x in key], names)
 
     def run(batches):
-        m = shared.value
+        model, frequent, often = shared.value["model"], shared.value["words"], shared.value["counts"]
+        task, number = TaskContext.get().partitionId(), 0
         for b in batches:
-            c = np.asarray(b.column(1)).astype(np.float64)
-            data, s, e = _binary(b.column(0))
-            h = np.concatenate([_hash_words(data, s[lo : lo + 50_000], e[lo : lo + 50_000]) for lo in range(0, len(s), 50_000)])
-            log = np.concatenate([word_logs(*_flat(data, s[lo : lo + 50_000], e[lo : lo + 50_000]), m) for lo in range(0, len(s), 50_000)])
-            p = np.log1p(-m["end"]) + np.logaddexp(np.log1p(-m["share"]) + log, np.log(np.maximum(m["share"] * c / m["total"], 1e-300)))
-            p[s == e] = np.log(m["end"])
-            h[s == e] = _END
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(1), pa.array(p / np.log(10))], ["h", "c", "log"])
-
-    return words.select("word", "c").mapInArrow(run, "h long, c long, log double")
-
-
-def _pairs(h: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by word, then document, with the times of equal pairs added. doc comes in order."""
-    o = np.argsort(h, kind="stable")
-    h, doc, times = h[o], doc[o], times[o]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return h[at], doc[at], np.add.reduceat(times, at) if len(at) else times
-
-
-def _share_gate(seen: Column, followers: Column) -> Column:
-    """Number of the share of a pair whose first word was seen so often, before so many different words."""
-    step = F.least(F.floor(F.log2(seen + 1)), F.lit(SEEN_GATES - 1))
-    variety = F.least(F.floor(followers * VARIETY / F.greatest(seen, F.lit(1))), F.lit(VARIETY - 1))
-    return F.greatest(step * VARIETY + variety, F.lit(0)).cast("int")
-
-
-def pair_shares(pairs: DataFrame) -> list[float]:
-    """The share of the pair's count for each gate, by expectation steps over all learning pairs without the occurrence itself; ratios of probabilities in steps of a quarter of a power of two."""
-    seen, many = F.col("seen") - 1, F.col("pair") - 1
-    ratio = F.log2(many / seen) - F.col("log") * float(np.log2(10))
-    place = F.when((many > 0) & (seen > 0), F.greatest(F.lit(-400), F.least(F.lit(400), F.round(ratio * 4)))).cast("int")
-    gate = _share_gate(seen, F.col("followers") - (many == 0).cast("int"))
-    sums = pairs.filter("pair > 0").groupBy(gate.alias("gate"), place.alias("place")).agg(F.sum("pair").alias("n")).toArrow()
-    g, n = np.asarray(sums["gate"]).astype(np.int64), np.asarray(sums["n"]).astype(np.float64)
-    r = np.where(np.asarray(sums["place"].is_null()), 0.0, 2.0 ** (np.asarray(sums["place"].fill_null(0)) / 4.0))
-    share = np.full(SEEN_GATES * VARIETY, 0.25)
-    for _ in range(60):
-        mine = np.bincount(g, n * share[g] * r / (share[g] * r + 1 - share[g]), minlength=len(share))
-        share = (mine + 0.5) / (np.bincount(g, n, minlength=len(share)) + 2)
-    return share.tolist()
-
-
-def pair_logs(words: DataFrame, logs: DataFrame, src: DataFrame) -> DataFrame:
-    """h (the pair's key), c (count of its second word) and the decimal logarithm of the model's probability of each different pair; the key of a batch's own row with zeros."""
-    pairs = src.select("text", (~F.col("out")).alias("learn")).mapInArrow(_count_pairs, "before long, h long, n long").groupBy("before", "h").agg(F.sum("n").alias("pair"))
-    pairs = stage(pairs, "pairs")
-    followers = pairs.filter("pair > 0").groupBy("before").agg(F.count(F.lit(1)).alias("followers"))
-    firsts = logs.select(F.col("h").alias("before"), F.col("c").alias("seen")).join(followers, "before", "left")
-    seconds = logs.select("h", "c", "log")
-    joined = pairs.join(seconds, "h").join(firsts, "before").select("before", "h", "pair", "c", "log", "seen", F.coalesce("followers", F.lit(0)).alias("followers"))
-    joined = stage(joined.mapInArrow(_keys, "h long, pair long, c long, log double, seen long, followers long"), "pair_counts")
-    shares = F.array(*[F.lit(x) for x in pair_shares(joined)])
-    share = F.when(F.col("seen") > 0, F.get(shares, _share_gate(F.col("seen"), F.col("followers")))).otherwise(0.0)
-    word, pair = F.col("log") + F.log10(1 - F.col("share")), F.log10(F.col("share") * F.col("pair") / F.col("seen"))
-    top = F.greatest(word, pair)
-    both = F.when(F.col("pair") > 0, top + F.log10(1 + F.pow(F.lit(10.0), F.least(word, pair) - top))).otherwise(word)
-    own = words.sparkSession.range(1).select(F.lit(int(_OWN.astype(np.int64))).alias("h"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("log"))
-    return joined.withColumn("share", share).select("h", "c", both.alias("log")).unionByName(own)
-
-
-def _postings(batches):
-    """For each batch of documents and different pair: the rows that have it and how often, as pairs of integers of a width that the batch's own row begins with; that row also has the ids."""
-    task, number = TaskContext.get().partitionId(), 0
-    for b in batches:
-        found, size = [], np.zeros(b.num_rows, np.int64)
-        for lo, hi, _, _, _, h, doc in _parts(b.column(2)):
-            before, token, row = _in_order(h, doc, lo, hi)
-            size[lo:hi] += np.bincount(row - lo, minlength=hi - lo)
-            found.append(_pairs(_pair_keys(before, token), row.astype(np.uint32), np.ones(len(row), np.uint32)))
-        h, doc, times = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
-        found.clear()
-        h, doc, times = _pairs(h, doc, times)
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-        width = 2 if max(b.num_rows, times.max() if len(times) else 0) <= 0xFFFF else 4
-        flat = np.empty((len(h), 2), f"u{width}")
-        flat[:, 0], flat[:, 1] = doc, times
-        unit, number, n = (task << 24) + number, number + 1, len(first)
-        offs = np.r_[first, len(h)] * (2 * width)
-        lists = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(flat.view(np.uint8).ravel())])
-        words = h[first].view(np.int64)
-        ids = np.empty((b.num_rows, 4), np.int64)
-        ids[:, 0] = np.asarray(b.column(0).fill_null(0))
-        ids[:, 1] = np.asarray(b.column(0).is_null()).astype(np.int64) + 2 * np.asarray(b.column(1)).astype(np.int64)
-        ids[:, 2], ids[:, 3] = size, np.asarray(b.column(3))
-        yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([_OWN.astype(np.int64)]), pa.array([bytes([width]) + ids.tobytes()], pa.binary())], ["unit", "h", "rows"])
-        for lo in range(0, n, 50_000):
-            k = min(50_000, n - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, unit)), pa.array(words[lo : lo + k]), lists.slice(lo, k)], ["unit", "h", "rows"])
-
-
-def _sums(base: float):
-    """Adds up the tokens of each document of a batch; a batch's own row comes first."""
+            unit, number = (task << 24) + number, number + 1
+            learn = ~np.asarray(b.column(1)).astype(bool)
+            sums, size = np.zeros((3, b.num_rows)), np.zeros(b.num_rows, np.int64)  # known, base, score
+            runs, blocks, words, bytes_ = [], [], [], 0
+
+            def flush():
+                if words:
+                    h, row, times = (np.concatenate(x) for x in zip(*words, strict=True))
+                    o, cut = _grouped([h])
+                    yield from lists(unit, o, cut, h, None, np.stack([row, times], axis=1).astype(np.uint32))
+                for (ctx, value, opens, row), log in zip(runs, _spelled(blocks, [len(r[0]) for r in runs], model), strict=True):
+                    sums[2] += np.bincount(row[opens], log[opens], minlength=b.num_rows)
+                    ctx, value, row, log = ctx[~opens], value[~opens], row[~opens], log[~opens]
+                    o, cut = _grouped([ctx, value])
+                    yield from lists(unit, o, cut, ctx, value, np.stack([row.astype(np.uint32), log.astype(np.float32).view(np.uint32)], axis=1))
+
+            for lo, hi, buf, s, e, h, doc in _parts(b.column(2)):
+                size[lo:hi] = np.bincount(doc, minlength=hi - lo)
+                o, cut = _grouped([h, doc])
+                word, row, times = h[o[cut]], doc[o[cut]] + lo, np.diff(np.r_[cut, len(o)])
+                at = np.minimum(np.searchsorted(frequent, word), max(0, len(frequent) - 1))
+                is_frequent = frequent[at] == word if len(frequent) else np.zeros(len(word), bool)
+                row_f, times_f, c = row[is_frequent], times[is_frequent], often[at[is_frequent]] if len(often) else np.zeros(0)
+                sums[0] += np.bincount(row_f, times_f, minlength=b.num_rows)
+                sums[1] += np.bincount(row_f, times_f * np.log10(c + 1), minlength=b.num_rows)
+                words.append((word[~is_frequent], row[~is_frequent], times[~is_frequent]))
+                first, value, opens = chunks(h, doc)
+                blocks += [(len(runs), *x) for x in chunk_costs(buf, s, e, doc, learn[lo:hi], first)]
+                runs.append((_before(value), value, opens, doc[first] + lo))
+                bytes_ += len(buf)
+                if bytes_ > 8 * BLOCK:
+                    yield from flush()
+                    runs, blocks, words, bytes_ = [], [], [], 0
+            yield from flush()
+            ids = np.empty((b.num_rows, 7), np.int64)
+            ids[:, 0] = np.asarray(b.column(0).fill_null(0))
+            ids[:, 1] = np.asarray(b.column(0).is_null()).astype(np.int64) + 2 * np.asarray(b.column(1)).astype(np.int64)
+            ids[:, 2], ids[:, 3], ids[:, 4:] = size, np.asarray(b.column(3)), sums.T.copy().view(np.int64)
+            # its own row has a key that no word has, another one for each unit
+            key = tv.mix64(np.array([unit], np.uint64) ^ _CHUNK).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array(key), pa.array([_OWN]), pa.array([ids.tobytes()], pa.binary())], names)
+
+    return run
+
+
+def _sums(base: float, flags: np.ndarray):
+    """Adds up the tokens of each document of a unit; the unit's own row comes first."""
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"]
 
-    def emit(x: np.ndarray, known, plain, mixed):
+    def emit(x: np.ndarray, acc: np.ndarray):
         doc = pa.array(x[:, 0], mask=(x[:, 1] & 1).astype(bool))
-        return pa.RecordBatch.from_arrays([doc, pa.array((x[:, 1] & 2) > 0), pa.array(x[:, 2]), pa.array(known.astype(np.int64)), pa.array(plain), pa.array(mixed), pa.array(x[:, 3])], names)
+        return pa.RecordBatch.from_arrays([doc, pa.array((x[:, 1] & 2) > 0), pa.array(x[:, 2]), pa.array(np.rint(acc[0]).astype(np.int64)), pa.array(acc[1] - x[:, 2] * base), pa.array(acc[2] / np.log(10)), pa.array(x[:, 3])], names)
+
+    def entries(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, offs, data = rows.buffers()
+        o = np.frombuffer(offs, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+        return np.frombuffer(data, np.uint8)[o[0] : o[-1]].view(np.uint32).reshape(-1, 2), np.diff(o) // 8
 
     def run(batches):
-        unit, ids, acc, width = None, None, None, 2
+        unit, ids, acc = None, None, None
         for b in batches:
-            units = np.asarray(b.column(0))
-            cuts = np.r_[np.flatnonzero(np.r_[True, units[1:] != units[:-1]]), len(units)] if len(units) else np.zeros(0, np.int64)
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                part = b.slice(a, z - a)
-                c, log = np.asarray(part.column(2)).astype(np.float64), np.asarray(part.column(3))
-                values = [(c > 0).astype(np.float64), np.log10(c + 1) - base, log]
-                data, s, e = _binary(part.column(1))
-                if units[a] != unit:
+            units, is_own = np.asarray(b.column(0)), np.asarray(b.column(1)) == _OWN
+            cuts = np.flatnonzero(np.r_[True, units[1:] != units[:-1], True]) if len(units) else np.zeros(0, np.int64)
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if units[lo] != unit:
                     if ids is not None:
-                        yield emit(ids, *acc)
-                    unit, own, width = units[a], data[s[0] : e[0]].tobytes(), int(data[s[0]])
-                    ids = np.frombuffer(own[1:], np.int64).reshape(-1, 4)
-                    acc = np.zeros((len(values), len(ids)))
-                    s, e, values = s[1:], e[1:], [v[1:] for v in values]
-                flat, _ = tv.take_ranges(s, e)
-                pairs = np.ascontiguousarray(data[flat]).view(f"u{width}").reshape(-1, 2).astype(np.int64)
-                per = (e - s) // (2 * width)
-                for k, v in enumerate(values):
-                    acc[k] += np.bincount(pairs[:, 0], pairs[:, 1] * np.repeat(v, per), minlength=len(ids))
+                        yield emit(ids, acc)
+                    assert is_own[lo]
+                    unit, ids = units[lo], np.frombuffer(b.column(2)[lo].as_py(), np.int64).reshape(-1, 7)
+                    acc = ids[:, 4:].copy().view(np.float64).T.copy()
+                    learned = (ids[:, 1] & 2) == 0
+                    lo += 1
+                part = b.slice(lo, hi - lo)
+                f, c, best, total = (np.asarray(part.column(k).fill_null(0)) for k in (1, 3, 4, 5))
+                is_chunk = np.asarray(part.column(1).is_valid())
+                for kind in (False, True):
+                    mine = pa.array(is_chunk == kind)
+                    flat, n = entries(part.column(2).filter(mine))
+                    if not len(flat):
+                        continue
+                    row = flat[:, 0].astype(np.int64)
+                    each = lambda x: np.repeat(x[is_chunk == kind], n)  # noqa: B023, E731
+                    cs = each(c)
+                    if not kind:
+                        times = flat[:, 1].astype(np.float64)
+                        acc[0] += np.bincount(row, times * (cs > 0), minlength=len(ids))
+                        acc[1] += np.bincount(row, times * np.log10(cs + 1.0), minlength=len(ids))
+                        continue
+                    log, own = np.ascontiguousarray(flat[:, 1]).view(np.float32).astype(np.float64), learned[row].astype(np.int64)
+                    hit, all_ = (each(f) == each(best)) & (cs > 0), each(total) - own
+                    hits = cs - (hit * own)
+                    hit &= hits > 0
+                    hits = np.maximum(hits, 1)
+                    p = _flag(hits, all_ - hits, flags)
+                    acc[2] += np.bincount(row, np.where(all_ < 1, log, np.where(hit, np.log(p), np.log1p(-p) + log)), minlength=len(ids))
         if ids is not None:
-            yield emit(ids, *acc)
+            yield emit(ids, acc)
 
     return run
 
@@ -515,19 +567,27 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     held_out: condition on docs' rows; those rows are scored but not learned from. By default none is.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = F.lit(False) if held_out is None else held_out
+    out = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("out"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
-    words = src.select("text", (~F.col("out")).alias("learn")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
-    words = stage(words, "words")
-    model = train(words)
-    logs = pair_logs(words, stage(token_logs(words, model), "logs"), src)
-    base = float(np.log10(model["tokens"] + model["distinct"] + 1))
-    asked = src.select("doc_id", "out", "text", "n_bytes").mapInArrow(_postings, "unit long, h long, rows binary")
-    own = (F.col("h") != int(_OWN.astype(np.int64))).alias("late")
-    by_unit = asked.join(logs, "h").select("unit", "rows", "c", "log", own).repartition("unit").sortWithinPartitions("unit", "late").drop("late")
-    sums = by_unit.mapInArrow(_sums(base), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    counts = src.select("text", (~F.col("out")).alias("learn")).mapInArrow(_count, "h long, f long, n long, out long").groupBy("h", "f").agg(F.sum("n").alias("n"), F.sum("out").alias("out"))
+    counts = stage(counts, "counts")
+    words = counts.filter(F.col("f").isNull() & (F.col("n") > 0))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    model = train(src.filter(~F.col("out")).select("text"), distinct)
+    follow = stage(followers(counts), "followers")
+    flags = flag_map(follow)
+    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n").toArrow()
+    h, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["n"]).astype(np.float64)
+    o = np.argsort(h)
+    shared = docs.sparkSession.sparkContext.broadcast({"model": model, "words": h[o], "counts": n[o]})
+    known = words.select("h", F.col("n").alias("c"), F.lit(None).cast("long").alias("best"), F.lit(None).cast("long").alias("total")).unionByName(follow)
+    asked = src.select("doc_id", "out", "text", "n_bytes").mapInArrow(_postings(shared), "unit long, h long, f long, rows binary")
+    late = (~F.col("f").eqNullSafe(F.lit(int(_OWN)))).alias("late")
+    by_unit = asked.join(known, "h", "left").select("unit", "f", "rows", "c", "best", "total", late).repartition("unit").sortWithinPartitions("unit", "late").drop("late")
+    base = float(np.log10(total + distinct + 1))
+    sums = by_unit.mapInArrow(_sums(base, flags), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = F.try_divide(-F.col("score") * float(np.log2(10)), F.col("n_bytes"))
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))
 
 
 def by_remainder(docs: DataFrame, n: int = 7, left: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,14 +1,17 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerlight.llm import context_lm as lm
 from ledgerlight.llm.common import ship
 
-from .fixtures import SF, awkward, empty
+from .fixtures import SF, awkward, docs, empty
 
 
 def tokens(text):
@@ -47,66 +50,165 @@ def test_awkward_rows(spark):
 
 
 def test_bits_are_a_distribution():
-    """Over all bytes, the probabilities of one more byte after any prefix add up to one."""
+    """Over all bytes, the probabilities of one more byte after any context add up to one, with and without its own occurrence."""
     rng = np.random.default_rng(1)
-    n0, n1 = rng.integers(0, 50, lm._SHIFT[-1]).astype(float), rng.integers(0, 50, lm._SHIFT[-1]).astype(float)
-    data = np.frombuffer(b"abcab", np.uint8)
-    x, offs = lm._flat(data, np.array([0, 3]), np.array([3, 5]))
-    model = lm.learn(n0, n1, x, offs, np.array([2.0, 1.0]))
-    logs = np.zeros(256)
-    for b in range(256):
-        x = np.array([97, 98, b], np.uint8)
-        offs = np.array([0, 3])
-        ctx, total = lm.contexts(x, offs), np.zeros(3)
-        for node, bit in lm.bit_steps(x):
-            mixed = sum(model["slots"][at] for at in lm.slots(ctx, node))
-            total += lm._bit_log(mixed, node, bit, model["apm"])
-        logs[b] = total[2]
-    assert abs(np.exp(logs).sum() - 1) < 1e-4
-
-
-def test_order_counts(spark):
-    """A held-out text scores better than the same words in another order, by the counts of pairs of all learning documents."""
-    import random
-
-    from pyspark.sql import functions as F
-
-    from .fixtures import docs
+    bits = lm.table_bits(1000)
+    size = lm.shifts(bits)[-1]
+    model = {"bits": bits, "states": lm.states(rng.integers(0, 50, size), rng.integers(0, 50, size)), "lookup": lm.lookup(rng.random((lm.ORDERS, lm.GATES))), "map": rng.normal(0, 0.3, 256 * 48).astype(np.float32)}
+    key = (np.uint64(int.from_bytes(b"abcab")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    assert abs(np.exp(lm.byte_logs(key, np.zeros(256, bool), model)).sum() - 1) < 1e-4
+
+
+def test_levels():
+    """Small counts are exact, large ones within a step, and one occurrence less leads to the state of one less."""
+    assert (lm.LEVEL[:32] == np.arange(32)).all() and (np.diff(lm.LEVEL.astype(int)) >= 0).all()
+    n = np.arange(32, 65536)
+    assert (np.abs(np.log2(lm.CENTRE[lm.LEVEL[n]] / n)) < 1 / 16).all()
+    for a, b in ((0, 1), (1, 0), (5, 7), (31, 31)):
+        s = int(lm.states(np.array([a]), np.array([b]))[0])
+        assert lm.WITHOUT[0][s] == lm.states(np.array([max(a - 1, 0)]), np.array([b]))[0] and lm.WITHOUT[1][s] == lm.states(np.array([a]), np.array([max(b - 1, 0)]))[0]
+
+
+def naive(rows, held, model):
+    """Natural logarithms of the texts' probabilities bit by bit, with counts in dictionaries; weights and map are the model's."""
+
+    def parts(text):
+        out, now = [], []
+        for w in tokens(text):
+            h = lm._END if w is None else lm.tv.hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0]
+            now.append((w, int(h)))
+            if w is None or int(h) % 16 == 0:
+                out.append(tuple(now))
+                now = []
+        return out
+
+    def bits_of(chunk, before):
+        """(contexts with the bits so far, bit) of a chunk's bytes, and the bytes up to its end."""
+        data = b"".join((w.encode() + b" ") if w is not None else b"\n" for w, _ in chunk)
+        events = []
+        for byte in data:
+            node = 1
+            for k in range(7, -1, -1):
+                bit = byte >> k & 1
+                events.append(([(j, before[-j:].rjust(j, b"\0") if j else b"", node) for j in range(lm.ORDERS)], bit, node))
+                node = node * 2 + bit
+            before += bytes([byte])
+        return events, before
+
+    n, follow = Counter(), {}
+    for (_, text), out in zip(rows, held, strict=True):
+        before, last = b"", None
+        for chunk in parts(text):
+            events, before = bits_of(chunk, before)
+            if not out:
+                for contexts, bit, _ in events:
+                    for c in contexts:
+                        n[c, bit] += 1
+                if last is not None:
+                    follow.setdefault(last, Counter())[chunk] += 1
+            last = chunk
+    level = lambda k: min(int(math.log2(k)), lm.LEVELS - 2)
+    place = lambda hits, misses: (level(hits), 0 if misses < 1 else 1 + level(misses))
+    # of the chunks that follow equally often, the choice goes by hash
+    number = lambda chunk: int(lm.chunks(np.array([h for _, h in chunk], np.uint64), np.zeros(len(chunk), int))[1].view(np.int64)[0])
+    best = {c: max(f.items(), key=lambda x: (x[1], number(x[0]))) for c, f in follow.items()}
+    flags = {}
+    for c, f in follow.items():
+        total = sum(f.values())
+        for chunk, k in f.items():
+            own = chunk == best[c][0]
+            hits = best[c][1] - own
+            if total > 1:
+                at = place(max(hits, 1), total - 1 - max(hits, 1))
+                a, b = flags.get(at, (0, 0))
+                flags[at] = (a + k * (own and hits > 0), b + k)
+    out = []
+    for (_, text), other in zip(rows, held, strict=True):
+        before, last, total = b"", None, 0.0
+        for chunk in parts(text):
+            events, before = bits_of(chunk, before)
+            spelled = 0.0
+            for contexts, bit, node in events:
+                mixed = 0.0
+                for j, c in enumerate(contexts):
+                    k = [n[c, 0], n[c, 1]]
+                    if not other:
+                        k[bit] -= 1
+                    k = [lm.CENTRE[lm.LEVEL[x]] for x in k]
+                    gate = min(int(math.log2(sum(k) + 1)), lm.GATES // 2 - 1) * 2 + (min(k) > 0)
+                    mixed += model["weights"][j][gate] * math.log((k[1] + lm.PRIOR) / (k[0] + lm.PRIOR))
+                mixed += 0.5 * model["map"][node * 48 + int(np.clip(np.rint(mixed * 2) + 24, 0, 47))]
+                spelled -= math.log1p(math.exp(-mixed if bit else mixed))
+            seen = sum(follow.get(last, {}).values()) - (not other) if last is not None else 0
+            if last is None or seen < 1:
+                total += spelled
+            else:
+                own = best[last][0] == chunk
+                hits = best[last][1] - (own and not other)
+                a, b = flags.get(place(max(hits, 1), seen - max(hits, 1)), (0, 0))
+                p = (a + lm.PRIOR) / (b + 2 * lm.PRIOR) if b else 0.5
+                total += math.log(p) if own and hits > 0 else math.log1p(-p) + spelled
+            last = chunk
+        out.append(total)
+    return out
+
+
+def test_score_against_brute_force(spark, monkeypatch):
+    """Every document's score bit by bit, with dictionaries in place of tables (so large here that few contexts share a slot)."""
+    monkeypatch.setattr(lm, "LEAST_BITS", 20)
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 70)))) for k in range(24)]
+    long = " ".join(r.choice(words) for _ in range(200))
+    rows += [(30, long), (31, long[:300] + " Zz " + long[300:]), (32, long), (36, long), (37, long[200:] + " b"), (33, ""), (34, "É ü \n\t x"), (35, "q" * 500)]
+    held = [k % 5 == 2 for k, _ in rows]
+    ship(spark)
+    d = docs(spark, rows)
+    model = lm.train(d.filter("doc_id % 5 <> 2").select("text"), 60)
+    exact = dict(zip([k for k, _ in rows], naive(rows, held, model), strict=True))
+    got = lm.score(d, held_out=F.col("doc_id") % 5 == 2).collect()
+    assert next(x.score for x in got if x.doc_id == 36) > 0.5 * next(x.score for x in got if x.doc_id == 21) * 200 / 65
+    for x in got:
+        assert abs(x.score * math.log(10) - exact[x.doc_id]) < 0.02 * abs(exact[x.doc_id]) + 0.1, x.doc_id
+
 
+def test_order_and_repetition_count(spark):
+    """A held-out text scores better than its words in another order; texts that occur twice stand apart from those that occur once, learned from or not."""
     ship(spark)
     r = random.Random(3)
-    sentences = [" ".join(r.choice(["red", "blue", "old", "new"]) + " " + r.choice(["house", "river", "stone"]) + " " + r.choice(["falls", "stands"]) for _ in range(30)) for _ in range(60)]
-    mixed = sentences[-1].split()
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(150)) for _ in range(60)]
+    mixed = texts[0].split()
     r.shuffle(mixed)
-    rows = [*enumerate(sentences), (100, " ".join(mixed)), (101, " ".join(sentences[-1].split()[::-1]))]
-    got = {x.doc_id: x for x in lm.score(docs(spark, rows), held_out=F.col("doc_id") >= 59).collect()}
-    assert math.isclose(got[59].base_score, got[100].base_score) and math.isclose(got[59].base_score, got[101].base_score)
-    assert got[59].score > got[100].score + 20 and got[59].score > got[101].score + 20
-    assert got[59].n_tokens == got[100].n_tokens == 91
+    rows = [*enumerate(texts), *((100 + k, texts[k]) for k in range(10)), (200, " ".join(mixed)), (201, texts[0])]
+    got = {x.doc_id: x for x in lm.score(docs(spark, rows), held_out=F.col("doc_id") >= 200).collect()}
+    assert got[201].score > 0.5 * got[200].score and math.isclose(got[200].base_score, got[201].base_score)
+    twice = [got[k].bits_per_byte for k in (*range(10), *range(100, 110))]
+    once = [got[k].bits_per_byte for k in range(10, 60)]
+    assert max(twice) < 0.7 * min(once)
 
 
-def test_pairs_are_a_distribution(spark):
-    """After each token of a closed vocabulary the probabilities of all tokens add up to one; a seen pair gains by its count."""
+def test_held_out_texts(spark):
+    """Far below the bits of byte frequencies alone; beside the base, which gives every unknown word its probability without spelling it, within a twentieth on 3 MB."""
     ship(spark)
-    words = {b"": (3, 0.2), b"a": (3, 0.5), b"b": (2, 0.3)}
-    keys = {w: lm._hash_words(np.frombuffer(w, np.uint8), np.array([0]), np.array([1])) if w else np.array([lm._END]) for w in words}
-    logs = spark.createDataFrame([(int(keys[w].view(np.int64)[0]), c, math.log10(p)) for w, (c, p) in words.items()], "h long, c long, log double")
-    learn, rest = ["a b a", "b a", ""], ["a a b b", "b b", "a", "b", ""]
-    src = spark.createDataFrame([(t, False) for t in learn] + [(t, True) for t in rest], "text string, out boolean")
-    got = {r.h: 10**r.log for r in lm.pair_logs(src, logs, src).collect()}
-    p = {(x, y): got[int(lm._pair_keys(keys[x], keys[y]).view(np.int64)[0])] for x in words for y in words}
-    for x in words:
-        assert abs(sum(p[x, y] for y in words) - 1) < 1e-9
-    assert p[b"b", b"a"] > 0.5 and p[b"b", b"b"] < 0.3
-
-
-def test_weights_are_learned_on_all_words(spark, monkeypatch):
-    """The size of the sample that the weights start from does not change the model."""
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    rows = lm.by_remainder(d).collect()
+    held = {r.doc_id for r in rows if r.held_out}
+    n = Counter(b for r in d.collect() for t in tokens(r.text) if r.doc_id not in held for b in (t.encode() + b" " if t is not None else b"\n"))
+    order0 = sum(math.log10((n[b] + 1) / (sum(n.values()) + 256)) for r in d.collect() if r.doc_id in held for t in tokens(r.text) for b in (t.encode() + b" " if t is not None else b"\n"))
+    mine, base = (sum(r[c] for r in rows if r.held_out) for c in ("score", "base_score"))
+    assert mine > 0.75 * order0 and mine > 1.05 * base
+
+
+def test_one_very_long_word_and_a_text_in_many_blocks(spark, monkeypatch):
+    """Blocks of bytes don't change a score."""
     ship(spark)
-    words = lm.stage(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("explode(split(lower(text), ' ')) AS w").groupBy("w").count().selectExpr("cast(w AS binary) AS word", "count AS c"), "test_words")
-    one = lm.train(words)
-    monkeypatch.setattr(lm, "SAMPLE", 200)
-    monkeypatch.setattr(lm, "HEAD", 50)
-    other = lm.train(words)
-    assert np.abs(one["weights"] - other["weights"]).max() < 0.02 and abs(one["share"] - other["share"]) < 1e-3
-    assert np.abs(one["slots"] - other["slots"]).max() < 0.1 and np.abs(one["apm"] - other["apm"]).max() < 0.1
+    rows = [(1, "ab" * 40_000), (2, "one two three " * 3000), (3, "ab cd")]
+    whole = {r.doc_id: r.score for r in lm.score(docs(spark, rows)).collect()}
+    model = lm.train(docs(spark, rows).select("text"), 10)
+    monkeypatch.setattr(lm, "BLOCK", 1000)
+    text = pa.array([rows[0][1]])
+    ((_, _, buf, s, e, h, doc),) = lm._parts(text)
+    first, _, _ = lm.chunks(h, doc)
+    blocks = [(0, *x) for x in lm.chunk_costs(buf, s, e, doc, np.array([True]), first)]
+    assert len(blocks) > 50 and math.isclose(lm._spelled(blocks, [len(first)], model)[0].sum() / math.log(10), whole[1], rel_tol=1e-4)
