@@ -41,12 +41,14 @@ CHUNK_MASK = np.uint64(15)
 BLOCK, LEARN_AT = 1 << 21, 3 << 20
 #: Slots of a table row on its way to the sum.
 CELL = 1 << 14
-#: Words whose counts every task knows; the others' are joined.
-FREQUENT = 1 << 16
+#: Words whose counts every task knows, slots of the table that has them (of two words in a slot the more frequent), and bits of the map of contexts that can help.
+#: These sizes are fixed; what they don't settle is settled by the join, at any size of the input.
+FREQUENT, FREQUENT_BITS, FILTER_BITS = 1 << 18, 20, 25
+#: Slots of a task's memory of byte strings that it has scored.
+MEMORY_BITS = 21
 _END = np.uint64(0x5851F42D4C957F2D)
 _OWN = np.int64(0x14057B7EF767814F)
 _CHUNK = np.uint64(0x2545F4914F6CDD1D)
-_LEARN = np.uint64(1 << 63)
 #: Steps of hits and of misses by which the map of the long-range predictor goes.
 LEVELS = 18
 #: Steps that a task learns its weights in, where it has few byte strings.
@@ -213,7 +215,7 @@ def lookup(w: np.ndarray) -> np.ndarray:
 
 def byte_logs(key: np.ndarray, learned: np.ndarray, model: dict) -> np.ndarray:
     """Natural logarithm of the mixed probability of each byte string's last byte; learned: whether its own occurrence was counted."""
-    out, at, table = np.zeros(len(key)), shifts(model["bits"]), model["lookup"]
+    out, at, table = np.zeros(len(key), np.float32), shifts(model["bits"]), model["lookup"]
     for node, bit in bit_steps(key & np.uint64(255)):
         mixed = np.zeros(len(key), np.float32)
         own = np.where(learned, (bit.astype(np.int64) + 1) << 16, 0)
@@ -299,19 +301,30 @@ def _grouped(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     """Occurrences in learning documents of each word (f is null), and of each chunk after each context; out: those of the latter in other documents."""
+    words, pairs, size = [], [], 0
+
+    def flush():
+        h, n = _counted(np.sort(np.concatenate(words)))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.nulls(len(h), pa.int64()), pa.array(n), pa.nulls(len(h), pa.int64())], ["h", "f", "n", "out"])
+        ctx, f, mine = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        o, cut = _grouped([ctx, f])
+        if len(cut):
+            n = np.add.reduceat(mine[o], cut)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[o[cut]].view(np.int64)), pa.array(f[o[cut]].view(np.int64)), pa.array(n), pa.array(np.diff(np.r_[cut, len(o)]) - n)], ["h", "f", "n", "out"])
+
     for b in batches:
-        learn = np.asarray(b.column(1)).astype(np.int64)
-        for lo, _, _, _, _, h, doc in _parts(b.column(0)):
+        learn = np.asarray(b.column(1)).astype(bool)
+        for lo, _, buf, _, _, h, doc in _parts(b.column(0)):
             own = learn[doc + lo]
-            u, back = np.unique(h, return_inverse=True)
-            n = np.bincount(back, own, minlength=len(u)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.nulls(len(u), pa.int64()), pa.array(n), pa.nulls(len(u), pa.int64())], ["h", "f", "n", "out"])
+            words.append(h[own])
             first, value, opens = chunks(h, doc)
-            ctx, f, mine = _before(value)[~opens], value[~opens], own[first[~opens]]
-            o, cut = _grouped([ctx, f])
-            if len(cut):
-                n = np.add.reduceat(mine[o], cut)
-                yield pa.RecordBatch.from_arrays([pa.array(ctx[o[cut]].view(np.int64)), pa.array(f[o[cut]].view(np.int64)), pa.array(n), pa.array(np.diff(np.r_[cut, len(o)]) - n)], ["h", "f", "n", "out"])
+            pairs.append((_before(value)[~opens], value[~opens], own[first[~opens]].astype(np.int64)))
+            size += len(buf)
+            if size > 8 * BLOCK:
+                yield from flush()
+                words, pairs, size = [], [], 0
+    if words:
+        yield from flush()
 
 
 def _begins(offs: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -391,6 +404,29 @@ def followers(counts: DataFrame) -> DataFrame:
     return best.filter((F.col("total") > 1) | ((F.col("total") == 1) & (F.col("out") > 0))).select("h", F.col("top.n").alias("c"), F.col("top.f").alias("best"), "total")
 
 
+def _frequent_slot(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
+
+
+def _frequent(words: DataFrame) -> dict:
+    """The most frequent words by slot, and log10(count + 1) of each."""
+    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n").toArrow()
+    h, n = np.asarray(top["h"]).view(np.uint64)[::-1], np.asarray(top["n"]).astype(np.float64)[::-1]
+    at, log = np.full(1 << FREQUENT_BITS, ~np.uint64(0)), np.zeros(1 << FREQUENT_BITS, np.float64)
+    slot = _frequent_slot(h)
+    at[slot], log[slot] = h, np.log10(n + 1)
+    return {"words": at, "counts": log}
+
+
+def _filter(follow: DataFrame) -> np.ndarray:
+    """One bit for each value of the first bits of a context's key: whether a context that can help begins so."""
+    bit = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    rows = follow.groupBy(F.shiftright(bit, 3).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 7 AS int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out[np.asarray(rows["at"])] = np.asarray(rows["bits"]).astype(np.uint8)
+    return out
+
+
 def _level(n: Column) -> Column:
     return F.least(F.floor(F.log2(n)), F.lit(LEVELS - 2)).cast("int")
 
@@ -413,35 +449,43 @@ def _flag(hits: np.ndarray, misses: np.ndarray, table: np.ndarray) -> np.ndarray
     return table[level(hits), np.where(misses < 1, 0, 1 + level(misses))]
 
 
-def chunk_costs(buf: np.ndarray, s: np.ndarray, e: np.ndarray, doc: np.ndarray, learn: np.ndarray, first: np.ndarray):
-    """Byte strings of a run of texts for `byte_logs`, for each block: different strings (with the highest bit where the text was learned from), and (string, chunk, times)."""
+class Memory:
+    """Byte strings that a task has scored, by slot; a string that is not there is scored and takes its slot."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.key, self.log = np.full(1 << MEMORY_BITS, ~np.uint64(0)), np.zeros(1 << MEMORY_BITS, np.float32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMORY_BITS)).astype(np.int64)
+
+    def logs(self, key: np.ndarray) -> np.ndarray:
+        """Natural logarithms of the strings' last bytes; bit 48 says that the string's own occurrence was counted."""
+        at = self._slot(key)
+        out, new = self.log[at], np.flatnonzero(self.key[at] != key)
+        if len(new):
+            some = _counted(np.sort(key[new]))[0]
+            strings, learned = some & np.uint64((1 << 48) - 1), some >= np.uint64(1 << 48)
+            log = np.concatenate([byte_logs(strings[k : k + (1 << 15)], learned[k : k + (1 << 15)], self.model) for k in range(0, len(some), 1 << 15)])
+            slot = self._slot(some)
+            self.key[slot], self.log[slot] = some, log
+            out[new] = self.log[at[new]]
+            late = new[self.key[at[new]] != key[new]]  # strings that share a slot with a later one
+            out[late] = log[np.searchsorted(some, key[late])]
+        return out
+
+
+def chunk_logs(memory: Memory, buf: np.ndarray, s: np.ndarray, e: np.ndarray, doc: np.ndarray, learn: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the probability of each chunk of a run of texts, spelled out."""
     x, offs = coded(buf, s, e)
-    begin, starts, learned, lo = _begins(offs, doc), offs[first], learn[doc[first]], 0
-    while lo < len(x):
-        c = int(np.searchsorted(starts, lo, "right")) - 1
-        hi = min(len(x), lo + BLOCK, int(starts[c + 32767]) if c + 32767 < len(starts) else len(x))
-        turn = np.zeros(hi - lo, np.int64)
-        inside = starts[np.searchsorted(starts, lo, "right") : np.searchsorted(starts, hi)]
-        turn[inside - lo] = 1
-        of = np.cumsum(turn)
-        key = (byte_strings(x, begin, lo, hi) << np.uint64(15)) | of.astype(np.uint64) | np.where(learned[of + c], _LEARN, np.uint64(0))
-        key.sort()
-        pair, n = _counted(key)
-        string = (pair & ~np.uint64(32767)) >> np.uint64(15)
-        new = np.r_[True, string[1:] != string[:-1]]
-        yield string[new], np.cumsum(new) - 1, (pair & np.uint64(32767)).astype(np.int64) + c, n
-        lo = hi
-
-
-def _spelled(blocks: list, size: list[int], model: dict) -> list[np.ndarray]:
-    """The logarithm of each chunk's probability, spelled out. blocks: (number of the run, ...) as `chunk_costs` gives them; size: chunks of each run."""
-    out = [np.zeros(n) for n in size]
-    if blocks:
-        every = np.unique(np.concatenate([b[1] for b in blocks]))
-        strings, learned = every & np.uint64((1 << 48) - 1), every >= np.uint64(1 << 48)
-        log = np.concatenate([byte_logs(strings[k : k + (1 << 17)], learned[k : k + (1 << 17)], model) for k in range(0, len(every), 1 << 17)])
-        for run, string, at, chunk, n in blocks:
-            out[run] += np.bincount(chunk, log[np.searchsorted(every, string)][at] * n, minlength=size[run])
+    begin, starts, out = _begins(offs, doc), offs[first], np.zeros(len(first))
+    flag = np.where(learn[doc[first]], np.uint64(1 << 48), np.uint64(0))
+    for lo in range(0, len(x), BLOCK):
+        hi = min(len(x), lo + BLOCK)
+        a, b = int(np.searchsorted(starts, lo, "right")) - 1, int(np.searchsorted(starts, hi))
+        cut = np.maximum(starts[a:b], lo) - lo
+        log = memory.logs(byte_strings(x, begin, lo, hi) | np.repeat(flag[a:b], np.diff(np.r_[cut, hi - lo])))
+        out[a:b] += np.add.reduceat(log, cut, dtype=np.float64)
     return out
 
 
@@ -457,43 +501,43 @@ def _postings(shared):
             yield pa.RecordBatch.from_arrays([x.slice(k, 50_000) for x in key], names)
 
     def run(batches):
-        model, frequent, often = shared.value["model"], shared.value["words"], shared.value["counts"]
+        memory, word_at, often, can_help = Memory(shared.value["model"]), shared.value["words"], shared.value["counts"], shared.value["filter"]
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             unit, number = (task << 24) + number, number + 1
             learn = ~np.asarray(b.column(1)).astype(bool)
             sums, size = np.zeros((3, b.num_rows)), np.zeros(b.num_rows, np.int64)  # known, base, score
-            runs, blocks, words, bytes_ = [], [], [], 0
+            words, follow, done = [], [], 0
 
             def flush():
-                if words:
-                    h, row, times = (np.concatenate(x) for x in zip(*words, strict=True))
-                    o, cut = _grouped([h])
-                    yield from lists(unit, o, cut, h, None, np.stack([row, times], axis=1).astype(np.uint32))
-                for (ctx, value, opens, row), log in zip(runs, _spelled(blocks, [len(r[0]) for r in runs], model), strict=True):
-                    sums[2] += np.bincount(row[opens], log[opens], minlength=b.num_rows)
-                    ctx, value, row, log = ctx[~opens], value[~opens], row[~opens], log[~opens]
-                    o, cut = _grouped([ctx, value])
-                    yield from lists(unit, o, cut, ctx, value, np.stack([row.astype(np.uint32), log.astype(np.float32).view(np.uint32)], axis=1))
+                h, row, times = (np.concatenate(x) for x in zip(*words, strict=True))
+                o, cut = _grouped([h])
+                yield from lists(unit, o, cut, h, None, np.stack([row, times], axis=1).astype(np.uint32))
+                ctx, value, row, log = (np.concatenate(x) for x in zip(*follow, strict=True))
+                o, cut = _grouped([ctx, value])
+                yield from lists(unit, o, cut, ctx, value, np.stack([row.astype(np.uint32), log.astype(np.float32).view(np.uint32)], axis=1))
 
             for lo, hi, buf, s, e, h, doc in _parts(b.column(2)):
                 size[lo:hi] = np.bincount(doc, minlength=hi - lo)
-                o, cut = _grouped([h, doc])
-                word, row, times = h[o[cut]], doc[o[cut]] + lo, np.diff(np.r_[cut, len(o)])
-                at = np.minimum(np.searchsorted(frequent, word), max(0, len(frequent) - 1))
-                is_frequent = frequent[at] == word if len(frequent) else np.zeros(len(word), bool)
-                row_f, times_f, c = row[is_frequent], times[is_frequent], often[at[is_frequent]] if len(often) else np.zeros(0)
-                sums[0] += np.bincount(row_f, times_f, minlength=b.num_rows)
-                sums[1] += np.bincount(row_f, times_f * np.log10(c + 1), minlength=b.num_rows)
-                words.append((word[~is_frequent], row[~is_frequent], times[~is_frequent]))
+                at = _frequent_slot(h)
+                known = word_at[at] == h
+                sums[0, lo:hi] += np.bincount(doc[known], minlength=hi - lo)
+                sums[1, lo:hi] += np.bincount(doc[known], often[at[known]], minlength=hi - lo)
+                h_rest, doc_rest = h[~known], doc[~known]
+                o, cut = _grouped([h_rest, doc_rest])
+                words.append((h_rest[o[cut]], doc_rest[o[cut]] + lo, np.diff(np.r_[cut, len(o)])))
                 first, value, opens = chunks(h, doc)
-                blocks += [(len(runs), *x) for x in chunk_costs(buf, s, e, doc, learn[lo:hi], first)]
-                runs.append((_before(value), value, opens, doc[first] + lo))
-                bytes_ += len(buf)
-                if bytes_ > 8 * BLOCK:
+                ctx, row, log = _before(value), doc[first] + lo, chunk_logs(memory, buf, s, e, doc, learn[lo:hi], first)
+                bit = (ctx >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                joins = ~opens & (can_help[bit >> 3] >> (bit & 7) & 1).astype(bool)
+                sums[2] += np.bincount(row[~joins], log[~joins], minlength=b.num_rows)
+                follow.append((ctx[joins], value[joins], row[joins], log[joins]))
+                done += len(buf)
+                if done > 8 * BLOCK:
                     yield from flush()
-                    runs, blocks, words, bytes_ = [], [], [], 0
-            yield from flush()
+                    words, follow, done = [], [], 0
+            if words:
+                yield from flush()
             ids = np.empty((b.num_rows, 7), np.int64)
             ids[:, 0] = np.asarray(b.column(0).fill_null(0))
             ids[:, 1] = np.asarray(b.column(0).is_null()).astype(np.int64) + 2 * np.asarray(b.column(1)).astype(np.int64)
@@ -576,10 +620,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     model = train(src.filter(~F.col("out")).select("text"), distinct)
     follow = stage(followers(counts), "followers")
     flags = flag_map(follow)
-    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n").toArrow()
-    h, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["n"]).astype(np.float64)
-    o = np.argsort(h)
-    shared = docs.sparkSession.sparkContext.broadcast({"model": model, "words": h[o], "counts": n[o]})
+    shared = docs.sparkSession.sparkContext.broadcast({"model": model, "filter": _filter(follow)} | _frequent(words))
     known = words.select("h", F.col("n").alias("c"), F.lit(None).cast("long").alias("best"), F.lit(None).cast("long").alias("total")).unionByName(follow)
     asked = src.select("doc_id", "out", "text", "n_bytes").mapInArrow(_postings(shared), "unit long, h long, f long, rows binary")
     late = (~F.col("f").eqNullSafe(F.lit(int(_OWN)))).alias("late")

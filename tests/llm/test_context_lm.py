@@ -210,5 +210,5 @@ def test_one_very_long_word_and_a_text_in_many_blocks(spark, monkeypatch):
     text = pa.array([rows[0][1]])
     ((_, _, buf, s, e, h, doc),) = lm._parts(text)
     first, _, _ = lm.chunks(h, doc)
-    blocks = [(0, *x) for x in lm.chunk_costs(buf, s, e, doc, np.array([True]), first)]
-    assert len(blocks) > 50 and math.isclose(lm._spelled(blocks, [len(first)], model)[0].sum() / math.log(10), whole[1], rel_tol=1e-4)
+    log = lm.chunk_logs(lm.Memory(model), buf, s, e, doc, np.array([True]), first)
+    assert len(buf) > 50 * lm.BLOCK and math.isclose(log.sum() / math.log(10), whole[1], rel_tol=1e-4)
