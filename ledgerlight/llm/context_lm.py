@@ -38,7 +38,7 @@ GATES, PRIOR, RATE = 24, 0.4, 0.05
 #: A word closes a chunk if these bits of its hash are zero.
 CHUNK_MASK = np.uint64(15)
 #: Bytes that are worked on at once; different byte strings after which a task learns from what it has counted.
-BLOCK, LEARN_AT = 1 << 21, 3 << 20
+BLOCK, LEARN_AT = 1 << 20, 2 << 20
 #: Slots of a table row on its way to the sum.
 CELL = 1 << 14
 #: Words whose counts every task knows, slots of the table that has them (of two words in a slot the more frequent), and bits of the map of contexts that can help.
@@ -82,7 +82,7 @@ GATE3, STRETCH3 = (np.concatenate([x, x[WITHOUT[0]], x[WITHOUT[1]]]) for x in (G
 def table_bits(distinct: int) -> tuple[int, ...]:
     """log2 of the slots of each order for so many different words."""
     n = max(1, int(distinct)).bit_length()
-    return (8, 16, *(int(np.clip(n + k, LEAST_BITS, MOST_BITS + min(k, 0) * 1)) for k in (-2, -1, 0, 1)))
+    return (8, 16, *(int(np.clip(n + 1 - k, min(LEAST_BITS, MOST_BITS - k), MOST_BITS - k)) for k in (4, 2, 1, 0)))
 
 
 def shifts(bits: tuple[int, ...]) -> np.ndarray:
@@ -114,11 +114,11 @@ def bit_steps(byte: np.ndarray):
 def states(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Two bytes for each slot: the levels of its counts of zeros and ones. Counts beyond 65535 are scaled together."""
     out = np.empty(len(n0), np.uint16)
-    for lo in range(0, len(n0), 1 << 20):
-        a, b = n0[lo : lo + (1 << 20)].astype(np.float64), n1[lo : lo + (1 << 20)].astype(np.float64)
+    for lo in range(0, len(n0), 1 << 18):
+        a, b = n0[lo : lo + (1 << 18)].astype(np.float64), n1[lo : lo + (1 << 18)].astype(np.float64)
         scale = np.maximum(1.0, np.maximum(a, b) / 65535)
         small = lambda x: np.where(x > 0, np.maximum(np.rint(x / scale), 1), 0).astype(np.int64)
-        out[lo : lo + (1 << 20)] = (LEVEL[small(a)].astype(np.uint16) << 8) | LEVEL[small(b)]
+        out[lo : lo + (1 << 18)] = (LEVEL[small(a)].astype(np.uint16) << 8) | LEVEL[small(b)]
     return out
 
 
