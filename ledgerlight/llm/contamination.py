@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import packed, partitions, stage
 
 # Fixed values of this method: token positions that each mask looks at.
 MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 6, 8, 9, 11), (0, 1, 4, 5, 6, 10, 12)]
@@ -62,7 +62,7 @@ def seeds(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, block_seeds: int = BLOCK_SEEDS) -> DataFrame:
     """One row for each document, given by id and text, and item in it: doc_id, tkey (hash of the text), item_id, overlap."""
-    s = seeds(benchmark, item_col, item_text_col)
+    s = stage(seeds(benchmark, item_col, item_text_col), "seeds")
     blocks = partitions(s.count(), block_seeds, 1)
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), tokens(F.col(text_col)).alias("all"))
     all_seeds = seeded(src.select("doc_id", "tkey", F.explode(pieces(F.col("all"))).alias("h")), ["doc_id", "tkey"])
@@ -76,10 +76,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no benchmark item was found."""
-    bad = hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("_tkey")), "left_anti")
+    """The rows of docs in which no benchmark item was found. All columns of docs, of any name, are kept as they are."""
+    bad = hits(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("of"), F.col("tkey").alias("hit")).distinct()
+    rows = packed(docs, id=F.col(id_col), tkey=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("of")) & (F.col("tkey") == F.col("hit")), "left_anti").select("row.*")
 
 
 def oracle_sql(share: float = SHARE) -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import stage
+from .common import discard, packed, stage
 
 SHINGLE, LEAST = 5, 0.8
 TOKENS = 64
@@ -268,11 +268,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = stage(src.mapInArrow(_sketches(shingle), "did long, tkey long, cid long, size long, tokens binary"), "sketches")
     sets = stage(rows.groupBy("cid").agg(F.min(F.struct("did", "tkey")).alias("of"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size"), F.first("tokens").alias("tokens")), "sets")
     full = sets.filter("size > 0").select("cid", "tokens")
-    level, found = full.mapInArrow(_first_level(runs_needed(recall, least, PICKS, depth), PICKS), "cid long, path long"), []
+    level, found, used = full.mapInArrow(_first_level(runs_needed(recall, least, PICKS, depth), PICKS), "cid long, path long"), [], []
     for d in range(depth):
         level = stage(level, f"level{d}")
         n = stage(level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"nodes{d}")
         counted = stage(level.join(n, "path"), f"counted{d}")
+        discard(level, n)
+        used.append(counted)
         found.append(counted if d == depth - 1 else counted.filter(F.col("n") <= leaf))
         large = counted.filter(F.col("n") > leaf).select("cid", "path")
         if d == depth - 1 or large.isEmpty():
@@ -297,6 +299,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     groups = sets.select("cid", "of", "n_copies").join(total, "cid", "left").join(label.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = groups.groupBy("label").agg(F.min("of").alias("head"))
     groups = stage(groups.join(heads, "label").select("cid", "head", "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "groups")
+    discard(*used, likely, linked)
     out = rows.select("did", "tkey", "cid").join(groups, "cid")
     return out.select("did", "tkey", F.when(F.col("head.did") != _LAST, F.col("head.did")).alias("class_id"), "n_links", "n_copies", ((F.col("did") == F.col("head.did")) & (F.col("tkey") == F.col("head.tkey"))).alias("first"))
 
@@ -307,8 +310,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs without those that another document of their group stands for; of repeated rows one stays."""
-    keep = classes(docs, id_col=id_col, text_col=text_col, **options).filter("first").select(F.col("did").alias("_did"), F.col("tkey").alias("_tkey")).distinct()
-    key = docs.withColumn("_d", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn("_t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = key.join(keep, (F.col("_d") == F.col("_did")) & (F.col("_t") == F.col("_tkey")), "left_semi")
-    return kept.dropDuplicates(["_d", "_t"]).select(*docs.columns)
+    """The rows of docs without those that another document of their group stands for; of repeated rows one stays. All columns of docs, of any name, are kept as they are."""
+    keep = classes(docs, id_col=id_col, text_col=text_col, **options).filter("first").select("did", "tkey").distinct()
+    rows = packed(docs, did=F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), tkey=F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return rows.join(keep, ["did", "tkey"], "left_semi").dropDuplicates(["did", "tkey"]).select("row.*")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, partitions, stage
+from .common import WORD, free_name, packed, partitions, stage
 
 BUCKET_ROWS = 20_000
 FAN_IN = 64
@@ -104,11 +104,14 @@ def _key(id_col: str, text_col: str, source_col: str):
 
 
 def take(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """The mixture itself: the rows of docs that are taken at all, with copies and taken; equal rows become one with all their copies."""
+    """The mixture itself: the rows of docs that are taken at all, with copies and taken; equal rows become one with all their copies.
+
+    All columns of docs are kept as they are; where docs have a column copies or taken, the mixture's own get underscores behind their names.
+    """
     mixed = _mix(docs, id_col, text_col, source_col, weights, share, cap, seed, bucket_rows, fan_in)
-    chosen = mixed.filter("copies > 0").groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    keyed = docs.drop("copies", "taken").withColumn("_of", _key(id_col, text_col, source_col))
-    return keyed.join(chosen, F.col("_of") == F.col("_key")).dropDuplicates(["_of"]).drop("_of", "_key")
+    chosen = mixed.filter("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+    rows = packed(docs, key=_key(id_col, text_col, source_col)).join(chosen, "key").dropDuplicates(["key"])
+    return rows.select("row.*", F.col("copies").alias(free_name("copies", docs)), F.col("taken").alias(free_name("taken", docs)))
 
 
 def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float, seed: int, bucket_rows: int, fan_in: int) -> DataFrame:

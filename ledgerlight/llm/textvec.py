@@ -37,7 +37,7 @@ BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of them."""
     if len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + 1)
+        n = max(1 << 16, n + n // 8)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1

@@ -73,4 +73,4 @@ def test_awkward_rows(spark):
     assert mixing.mix(empty(spark)).collect() == []
     taken = mixing.take(d)
     assert set(d.columns) <= set(taken.columns)
-    assert taken.agg(F.sum("taken")).first()[0] == sum(r.taken for r in got)
+    assert taken.agg(F.sum("taken_")).first()[0] == sum(r.taken for r in got)

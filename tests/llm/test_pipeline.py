@@ -1,10 +1,12 @@
 import re
 
+import pytest
+
 import corpus_pipeline as cp
-from ledgerlight.llm import contamination, secrets, toxicity
+from ledgerlight.llm import common, contamination, secrets, toxicity
 from ledgerlight.llm.common import ship, stage
 
-from .fixtures import SF
+from .fixtures import SF, awkward, empty
 from .test_jaccard import brute
 
 
@@ -35,3 +37,28 @@ def test_each_stage_takes_effect(spark):
     left = secrets.scan(seen[4]).filter("n_secrets > 0").count()
     assert left == 0
     assert set(rows[5]) <= set(rows[4]) and all(r.copies in (1, 2) and r.text == rows[4][i].text for i, r in rows[5].items())
+
+
+@pytest.mark.parametrize("make", [awkward, empty])
+def test_each_stage_on_awkward_and_empty_tables(spark, make):
+    """Nulls, empty and long texts, repeated rows and clashing names go through every stage and all of them; columns keep their names and values."""
+    ship(spark)
+    d = stage(make(spark), "docs")
+    rest = [c for c in d.columns if c not in ("text", "n_chars")]
+    given = {tuple(r) for r in d.select(*rest).collect()}
+    last = d
+    for name, f in cp.STAGES:
+        for source in (d, last):
+            out = stage(f(spark, source, SF), name)
+            assert out.columns[: len(d.columns)] == d.columns
+            assert {tuple(r) for r in out.select(*rest).collect()} <= given
+        last = out
+    assert last.columns == [*d.columns, *(["copies_", "taken_"] if "copies" in d.columns else ["copies", "taken"])]
+    kept = {r.doc_id for r in stage(cp.one_of_each_group(spark, d, SF), "groups").collect()}
+    assert kept == ({1, 3, 5, 6, 8} if make is awkward else set()) or kept == ({1, 3, 6, 8} if make is awkward else set())
+
+
+def test_run_leaves_one_table(spark):
+    before = len(common._staged)
+    out = cp.run(spark, SF)
+    assert len(common._staged) == before + 1 and out.count() > 0
