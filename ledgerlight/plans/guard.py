@@ -25,7 +25,7 @@ FUNCTIONS = frozenset(
     "max_by min_by arg_max arg_min array_agg collect_list listagg string_agg group_concat in between like isnull isnotnull not try_divide quarter".split()
 )
 #: Nodes that a read-only query consists of.
-NODES = frozenset("Project Filter Join Aggregate Sort GlobalLimit LocalLimit Limit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith OneRowRelation UnresolvedHaving UnresolvedHint Window WithWindowDefinition UnresolvedInlineTable LocalRelation CTERelationDef CTERelationRef WithCTE".split())
+NODES = frozenset("Project Filter Join Aggregate Sort GlobalLimit LocalLimit Limit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedWith OneRowRelation UnresolvedHaving Window WithWindowDefinition UnresolvedInlineTable LocalRelation CTERelationDef CTERelationRef WithCTE".split())
 
 
 class PolicyError(ValueError):
@@ -132,9 +132,15 @@ class _Proof:
             self.visit(x)
         for e in _seq(p.expressions()):
             for x in _expressions(e):
-                if _kind(x) in ("ScalarSubquery", "Exists", "ListQuery"):
+                if _kind(x) in ("ScalarSubquery", "Exists"):
                     self.visit(x.plan())
                     self.correlated(x)
+                    if _kind(x) == "ScalarSubquery":
+                        self.one_value(x.plan())
+                elif _kind(x) == "InSubquery":
+                    self.visit(x.query().plan())
+                    self.correlated(x.query())
+                    self.member(x)
         if kind in ("Project", "Aggregate"):
             for e in _seq(p.projectList() if kind == "Project" else p.aggregateExpressions()):
                 if _kind(e) == "Alias" and (o := self.of(e.child())):
@@ -159,6 +165,26 @@ class _Proof:
                         if len(sides) != 2 or not self.equality(*map(self.of, sides)):
                             raise PolicyError("a correlated condition does not follow an approved relation")
 
+    def member(self, x) -> None:
+        """IN compares one column with one column: the same one, or the other end of an approved relation of one key."""
+        values, inner = _seq(x.values()), _seq(x.query().plan().output())
+        if len(values) != 1 or len(inner) != 1:
+            raise PolicyError("IN takes one column")
+        a, b = self.of(values[0]), self.of(inner[0])
+        if not (a and b) or a[1:] != b[1:] and not self.equality(a, b):
+            raise PolicyError("IN does not compare columns of one origin or of an approved relation")
+
+    def one_value(self, p) -> None:
+        """A scalar sub-query gives one row by its form: an aggregate of everything, or a limit of one."""
+        while _kind(p) in ("Project", "SubqueryAlias", "Sort", "Filter", "WithCTE"):
+            if _kind(p) == "Project" and any("Window" in _kind(y) for e in _seq(p.projectList()) for y in _expressions(e)):
+                break
+            p = p.plan() if _kind(p) == "WithCTE" else _seq(p.children())[0]
+        single = _kind(p) == "Aggregate" and not _seq(p.groupingExpressions())
+        limited = _kind(p) == "GlobalLimit" and _kind(p.limitExpr()) == "Literal" and int(p.limitExpr().value()) == 1
+        if not (single or limited):
+            raise PolicyError("a scalar sub-query must be one aggregate without groups, or end with LIMIT 1")
+
     def conjuncts(self, e) -> list:
         return [y for x in (e.left(), e.right()) for y in self.conjuncts(x)] if _kind(e) == "And" else [e]
 
@@ -217,18 +243,39 @@ class _Proof:
         raise PolicyError("the join does not follow an approved relation")
 
 
-def strip_hints(sql: str) -> str:
-    return re.sub(r"/\*.*?\*/", " ", re.sub(r"--[^\n]*", " ", sql), flags=re.DOTALL) if "'" not in sql and '"' not in sql else re.sub(r"/\*\+.*?\*/", " ", sql, flags=re.DOTALL)
+_LEXEME = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*|\*/|.""", re.DOTALL)
+
+
+def strip_comments(sql: str) -> str:
+    """The text without comments, and so without hints; literals and quoted names stay as they are. Bracketed comments nest."""
+    out, depth = [], 0
+    for m in _LEXEME.finditer(sql):
+        x = m[0]
+        if x == "/*":
+            depth += 1
+        elif x == "*/" and depth:
+            depth -= 1
+            out.append(" " if not depth else "")
+        elif not depth:
+            out.append(" " if x.startswith("--") else x)
+    return "".join(out)
+
+
+def _literals_out(sql: str) -> str:
+    return "".join(" " if m[0][0] in "'\"`" and len(m[0]) > 1 else m[0] for m in _LEXEME.finditer(sql))
 
 
 def guarded_sql(spark: SparkSession, sql: str, model: Model, *, allowed: set[str] | None = None, subqueries: bool = False, parameters: dict | list | None = None) -> DataFrame:
     """The query's DataFrame, if every rule holds. Tables must be registered as temporary views of their names; parameters are bound, never pasted."""
     tables = {t.lower() for t in model.tables} & ({a.lower() for a in allowed} if allowed is not None else {t.lower() for t in model.tables})
-    sql = strip_hints(sql)
+    sql = strip_comments(sql)
     _statement(spark, sql, tables, subqueries)
-    wanted = set(re.findall(r":(\w+)", re.sub(r"'[^']*'|::", " ", sql)))
-    if isinstance(parameters, dict) and wanted != set(parameters):
-        raise PolicyError(f"parameters {sorted(wanted ^ set(parameters))} do not agree")
+    wanted = set(re.findall(r"(?<!:):([A-Za-z_]\w*)", _literals_out(sql)))
+    if wanted != set(parameters if isinstance(parameters, dict) else ()):
+        raise PolicyError(f"parameters {sorted(wanted ^ set(parameters or ()))} do not agree")
+    places = _literals_out(sql).count("?")
+    if places != (len(parameters) if isinstance(parameters, (list, tuple)) else 0):
+        raise PolicyError(f"{places} places for parameters")
     df = spark.sql(sql, args=parameters) if parameters is not None else spark.sql(sql)
     names = [c.lower() for c in df.columns]
     if len(names) != len(set(names)):

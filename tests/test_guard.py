@@ -49,6 +49,23 @@ WITH_SUBQUERIES = [
     "SELECT name FROM customers c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.customer_id = c.customer_id)",
     "SELECT name FROM customers c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.customer_id = c.customer_id)",
     "SELECT order_id FROM orders WHERE amount > (SELECT avg(amount) FROM orders)",
+    "SELECT order_id FROM orders WHERE customer_id IN (SELECT customer_id FROM customers)",
+    "SELECT order_id FROM orders WHERE customer_id NOT IN (SELECT customer_id FROM orders WHERE amount > 15)",
+    "SELECT order_id FROM orders WHERE customer_id IN (SELECT q.k FROM (SELECT customer_id AS k FROM customers) q)",
+    "SELECT order_id FROM orders WHERE amount > (SELECT max(amount) - 1 FROM orders)",
+    "SELECT order_id FROM orders WHERE amount >= (SELECT amount FROM orders ORDER BY amount DESC LIMIT 1)",
+    "SELECT order_id, (SELECT max(c.name) FROM customers c WHERE c.customer_id = o.customer_id) AS name FROM orders o",
+]
+REJECTED_SUBQUERIES = [
+    "SELECT order_id FROM orders WHERE customer_id IN (SELECT order_id FROM orders)",
+    "SELECT order_id FROM orders WHERE customer_id NOT IN (SELECT order_id FROM orders)",
+    "SELECT order_id FROM orders WHERE customer_id + 0 IN (SELECT customer_id FROM customers)",
+    "SELECT order_id FROM orders WHERE customer_id IN (SELECT customer_id + 0 FROM customers)",
+    "SELECT order_id FROM orders WHERE (customer_id, order_id) IN (SELECT customer_id, order_id FROM orders)",
+    "SELECT order_id FROM orders WHERE amount > (SELECT customer_id FROM customers)",
+    "SELECT order_id FROM orders WHERE amount > (SELECT max(amount) FROM orders GROUP BY customer_id)",
+    "SELECT order_id FROM orders WHERE amount > (SELECT amount FROM orders LIMIT 2)",
+    "SELECT order_id FROM orders WHERE amount > (SELECT sum(amount) OVER () FROM orders)",
 ]
 REJECTED = [
     "DELETE FROM orders", "DROP TABLE orders", "CREATE TABLE z AS SELECT 1", "SET a = b", "SELECT 1; SELECT 2", "INSERT INTO orders SELECT * FROM orders", "CACHE TABLE orders", "DESCRIBE orders", "SHOW TABLES",
@@ -76,6 +93,20 @@ def test_subqueries_only_where_allowed(db, sql):
         guarded_sql(db, sql, MODEL)
 
 
+@pytest.mark.parametrize("sql", REJECTED_SUBQUERIES)
+def test_subqueries_off_the_model_are_rejected(db, sql):
+    with pytest.raises(PolicyError):
+        guarded_sql(db, sql, MODEL, subqueries=True)
+
+
+def test_hints_and_comments_go_but_literals_stay(db):
+    hinted = "SELECT /*+ BROADCAST(c) */ c.name, '/*+ keep */' AS a, '-- keep' AS b, 'it\\'s /* not */' AS d /* one /* two */ */ FROM orders o -- tail\n JOIN customers c ON o.customer_id = c.customer_id LIMIT 1"
+    df = guarded_sql(db, hinted, MODEL)
+    row = df.first()
+    assert (row.a, row.b, row.d) == ("/*+ keep */", "-- keep", "it's /* not */")
+    assert "Hint" not in df._jdf.queryExecution().logical().toString()
+
+
 @pytest.mark.parametrize("sql", REJECTED)
 def test_rejected(db, sql):
     with pytest.raises(PolicyError):
@@ -92,6 +123,10 @@ def test_parameters_scope_and_kinds(db):
     assert [r.order_id for r in df.collect()] == [1]
     with pytest.raises(PolicyError):
         guarded_sql(db, "SELECT order_id FROM orders WHERE amount >= :low", MODEL, parameters={"low": 1, "more": 2})
+    assert guarded_sql(db, "SELECT order_id FROM orders WHERE amount >= ? AND name = '?'".replace(" AND name = '?'", " AND '?' = '?'"), MODEL, parameters=[15]).count() == 1
+    for given in ([], [1, 2], None):
+        with pytest.raises(PolicyError):
+            guarded_sql(db, "SELECT order_id FROM orders WHERE amount >= ?", MODEL, parameters=given)
     with pytest.raises(PolicyError) as e:
         guarded_sql(db, "SELECT name FROM customers", MODEL, allowed={"orders"})
     assert error_kind(e.value) == "policy"
