@@ -1,18 +1,26 @@
-"""Dashboards: cards that are run again from their recipes, under approved filters, and keep their last good result."""
+"""Dashboards: cards that are run again from their recipes, under approved filters, and keep their last good result.
+
+A good result is written to the result store and read back, so that a later failure, or a change of the data, leaves it as it was. A card whose inputs
+are guarded SQL can itself be stored as JSON and made again from it.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.evidence import AnalysisResult, Evidence
+from ledgerlight.model import Model
+from ledgerlight.operators.evidence import Evidence
 from ledgerlight.operators.tools import run_analysis
+from ledgerlight.sources.results import ResultStore
 
 from . import charts
+from .guard import guarded_sql
 
 MAX_CARDS, MAX_VALUES = 24, 100
 
@@ -21,12 +29,23 @@ class BoardError(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class SqlInput:
+    """A query as a card's input: guarded SQL over the model's tables, with its parameters."""
+
+    sql: str
+    parameters: dict = field(default_factory=dict, hash=False)
+
+    def build(self, spark: SparkSession, model: Model) -> DataFrame:
+        return guarded_sql(spark, self.sql, model, parameters=self.parameters or None)
+
+
 @dataclass
 class Card:
-    """inputs: builders of the queries; bind: filter name -> column of the inputs; output: series or a table's name."""
+    """inputs: builders of the queries, or SQL; bind: filter name -> column of the inputs; output: series or a table's name."""
 
     id: str
-    inputs: list[Callable[[], DataFrame]]
+    inputs: list[Callable[[], DataFrame] | SqlInput]
     columns: list[str]
     bind: dict[str, str] = field(default_factory=dict)
     tool: str | None = None
@@ -36,12 +55,25 @@ class Card:
     date_column: str | None = None
     month_grain: bool = False
 
+    def to_json(self) -> str:
+        """The whole recipe; only cards of SQL inputs have one."""
+        if not all(isinstance(x, SqlInput) for x in self.inputs):
+            raise BoardError(f"{self.id} has inputs that are no SQL")
+        return json.dumps(asdict(self), sort_keys=True)
+
+    @staticmethod
+    def from_json(text: str) -> Card:
+        x = json.loads(text)
+        chart = charts.Chart(**x.pop("chart")) if x["chart"] else x.pop("chart")
+        return Card(**x | {"inputs": [SqlInput(**i) for i in x["inputs"]], "chart": chart})
+
 
 @dataclass
 class Snapshot:
     df: DataFrame | None
     stale: bool = False
     error: str | None = None
+    key: str | None = None
 
 
 @dataclass
@@ -52,8 +84,11 @@ class Filters:
 
 
 class Board:
-    def __init__(self, dimensions: set[str], cards: list[Card] = ()):
+    """store: where good results are kept, under the board's name; model: what SQL inputs are proved against."""
+
+    def __init__(self, dimensions: set[str], cards: list[Card] = (), *, store: ResultStore, name: str = "board", model: Model | None = None):
         self.dimensions, self.cards, self.snapshots = dimensions, {}, {}
+        self.store, self.name, self.model, self.version = store, name, model, 0
         for c in cards:
             self.pin(c)
 
@@ -93,28 +128,36 @@ class Board:
         return df
 
     def refresh(self, filters: Filters | None = None) -> dict[str, Snapshot]:
-        """Runs every card; one that fails keeps its last good result, marked stale, with the reason."""
+        """Runs every card; one that fails at any point keeps its last good result, marked stale, with the reason."""
         f = filters or Filters()
         self.check_filters(f)
+        self.version += 1
         for card in self.cards.values():
+            last, out = self.snapshots.get(card.id), None
             try:
-                inputs = [Evidence(self._filtered(card, build(), f), f"q{k + 1}") for k, build in enumerate(card.inputs)]
+                built = [x.build(self.store.spark, self.model) if isinstance(x, SqlInput) else x() for x in card.inputs]
+                inputs = [Evidence(self._filtered(card, df, f), f"q{k + 1}") for k, df in enumerate(built)]
                 df = inputs[0].df
                 if card.tool:
                     config = card.config | ({"query_id": "q1", "detail_query_id": "q2"} if len(inputs) > 1 else {})
-                    out: AnalysisResult = run_analysis(card.tool, inputs, config)
+                    out = run_analysis(card.tool, inputs, config)
                     if out.status != "ok":
                         raise BoardError("; ".join(out.limitations))
                     df = out.series if card.output == "series" else out.tables[card.output]
-                df = df.select(*card.columns)
+                key = f"{card.id}-{self.version}"
+                self.store.save(self.name, key, df.select(*card.columns), {"card": card.id, "filters": asdict(f)})
+                saved = self.store.load(self.name, key)
                 if card.chart:
-                    charts.check(df, card.chart)
-                else:
-                    df.schema  # noqa: B018  resolved now, so that a broken recipe fails here
-                self.snapshots[card.id] = Snapshot(df)
+                    charts.check(saved, card.chart)
+                self.snapshots[card.id] = Snapshot(saved, key=key)
+                if last and last.key:
+                    self.store.drop(self.name, last.key)
             except Exception as e:  # any failure of a card leaves the others alone
-                last = self.snapshots.get(card.id)
-                self.snapshots[card.id] = Snapshot(last.df if last else None, True, str(e).splitlines()[0])
+                self.store.drop(self.name, f"{card.id}-{self.version}")
+                self.snapshots[card.id] = Snapshot(last.df if last else None, True, str(e).splitlines()[0], last.key if last else None)
+            finally:
+                if out is not None:
+                    out.release()
         return self.snapshots
 
     def drill_down(self, filters: Filters, name: str, value) -> Filters:

@@ -277,9 +277,26 @@ def dispersion(t):
     return t.orders.groupBy("o_orderpriority").agg(r(F.stddev_samp(p), 2).alias("sd"), r(F.stddev_pop(p), 2).alias("sd_pop"), r(F.var_samp(p) / 1e6, 2).alias("var"), r(F.var_pop(p) / 1e6, 2).alias("var_pop"))
 
 
-@query()
+@query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, true AS near FROM orders GROUP BY 1")
 def approx_distinct(t):
-    return t.orders.groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))
+    """The sketch beside the exact count: whether it lies within 6 %, three times its own error."""
+    both = t.orders.groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("sketch"), F.count_distinct("o_custkey").alias("customers"))
+    return both.select("o_orderpriority", "customers", (F.abs(c("sketch") - c("customers")) <= 0.06 * c("customers")).alias("near"))
+
+
+@query("SELECT c_nationkey, array_to_string(list(coalesce(size::VARCHAR, 'null') ORDER BY c_custkey), ',') AS sizes, count(*) AS n, count(size) AS known FROM (SELECT c_nationkey, c_custkey, CASE WHEN c_acctbal >= 0 THEN floor(c_acctbal / 1000)::INT END AS size FROM customer) GROUP BY 1")
+def array_agg_nulls(t):
+    """All values of a group in order, nulls kept."""
+    size = F.when(c("c_acctbal") >= 0, F.floor(c("c_acctbal") / 1000).cast("int"))
+    rows = F.array_sort(F.collect_list(F.struct("c_custkey", size.alias("size"))))
+    listed = t.customer.groupBy("c_nationkey").agg(rows.alias("rows"), F.count("*").alias("n"), F.count(size).alias("known"))
+    return listed.select("c_nationkey", F.array_join(F.transform("rows", lambda x: F.coalesce(x["size"].cast("string"), F.lit("null"))), ",").alias("sizes"), "n", "known")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus)::INT AS no_status, grouping(o_orderpriority)::INT AS no_priority, grouping_id(o_orderstatus, o_orderpriority)::BIGINT AS level, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())")
+def grouping_sets(t):
+    sets = [[c("o_orderstatus"), c("o_orderpriority")], [c("o_orderpriority")], []]
+    return t.orders.groupingSets(sets, "o_orderstatus", "o_orderpriority").agg(F.grouping("o_orderstatus").cast("int").alias("no_status"), F.grouping("o_orderpriority").cast("int").alias("no_priority"), F.grouping_id().alias("level"), F.count("*").alias("n"))
 
 
 @query("SELECT o_orderpriority, arg_max(o_orderkey, o_totalprice * 1000000 + o_orderkey) AS dearest, arg_min(o_orderkey, o_totalprice * 1000000 + o_orderkey) AS cheapest FROM orders GROUP BY 1")
@@ -420,10 +437,10 @@ def topk_abs_delta(t):
     return t.orders.orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(20)
 
 
-@query("SELECT c_custkey, orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON c_custkey = o_custkey ORDER BY orders DESC NULLS LAST, c_custkey LIMIT 1200")
+@query("SELECT c_custkey, orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) ON c_custkey = o_custkey ORDER BY orders DESC NULLS LAST, c_custkey")
 def order_nulls_last(t):
     n = t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders"))
-    return t.customer.join(n, c("c_custkey") == c("o_custkey"), "left").orderBy(c("orders").desc_nulls_last(), "c_custkey").select("c_custkey", "orders").limit(1200)
+    return t.customer.join(n, c("c_custkey") == c("o_custkey"), "left").orderBy(c("orders").desc_nulls_last(), "c_custkey").select("c_custkey", "orders")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 101")
@@ -436,10 +453,10 @@ def page_offset(t):
     return t.orders.select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey").offset(100).limit(50)
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank FROM orders ORDER BY rank, o_totalprice DESC, o_orderkey LIMIT 300")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS rank FROM orders ORDER BY rank, o_totalprice DESC, o_orderkey")
 def priority_sort(t):
     rank = F.when(c("o_orderstatus") == "P", 0).when(c("o_orderstatus") == "O", 1).otherwise(2)
-    return t.orders.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", rank.alias("rank")).limit(300)
+    return t.orders.orderBy(rank, F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", rank.alias("rank"))
 
 
 _RUNS = "SELECT event_id AS run_id, CASE event_type WHEN 'error' THEN 'failed' ELSE 'complete' END AS status, CASE WHEN user_id % 3 = 0 THEN 'legacy' ELSE 'user' END AS origin, 'Q ' || event_type AS question, event_type AS domain, ts AS created_at FROM events"

@@ -25,6 +25,7 @@ def run(name, *inputs, **config):
     if len(evidence) > 1:
         config |= {"query_id": "q1", "detail_query_id": "q2"}
     out = T.run_analysis(name, evidence, config)
+    out.release()  # kept for the checks only: the query's own read computes its input once more and leaves nothing behind
     if out.status != "ok":
         raise ValueError(out.limitations)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlight.model import Metric, Model, ModelError, Table, metric_table, roll_up
 from ledgerlight.operators import joins, retrieval
 from ledgerlight.plans import charts
-from ledgerlight.plans.boards import Board, BoardError, Card, Filters
+from ledgerlight.plans.boards import Board, BoardError, Card, Filters, SqlInput
 from ledgerlight.sources import connectors, results
 from ledgerlight.streaming import feed
 
@@ -21,6 +21,53 @@ def test_row_and_byte_caps(spark):
     assert results.byte_prefix(df, ["id"], 100).count() < 25
 
 
+def test_batches(spark):
+    assert [len(b) for b in results.batches(spark.range(300, numPartitions=3), 128)] == [128, 128, 44]
+    assert list(results.batches(spark.range(0))) == []
+
+
+def test_saved_results_come_back_with_their_description(spark, tmp_path):
+    store = results.ResultStore(spark, str(tmp_path))
+    df = spark.sql("SELECT 1 AS a, CAST(2.50 AS DECIMAL(9, 2)) AS b, DATE'2025-01-01' AS d, CAST(null AS STRING) AS s")
+    store.save("r", "q1", df, {"sql": "select"})
+    got = store.hydrate("r", "q1")
+    assert got.columns == df.columns and got.types == [t for _, t in df.dtypes] and got.rows == 1 and got.meta == {"sql": "select"}
+    assert got.df.collect() == df.collect()
+    store.drop("r", "q1")
+    with pytest.raises(Exception):
+        store.hydrate("r", "q1")
+
+
+def test_snapshots_outlive_their_data_and_cards_can_be_stored(spark, tmp_path):
+    spark.sql("SELECT * FROM VALUES (1, 10.0D), (2, 20.0D) AS t(order_id, amount)").write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("orders")
+    model = Model({"orders": Table("orders", ("order_id",), {"order_id": "int", "amount": "double"})})
+    card = Card("c", [SqlInput("SELECT order_id, 10 / (amount - :zero) AS x FROM orders", {"zero": 0.0})], ["order_id", "x"], chart=charts.Chart("bar", ["x"], "order_id"))
+    again = Card.from_json(card.to_json())
+    assert again == card
+    board = Board(set(), [again], store=results.ResultStore(spark, str(tmp_path / "store")), model=model)
+    assert not board.refresh()["c"].stale
+    # a failure of the rows themselves, which no schema shows, is found, and the last good rows are still there
+    board.pin(Card("c", [SqlInput("SELECT order_id, 10 / (amount - :zero) AS x FROM orders", {"zero": 20.0})], ["order_id", "x"]))
+    (tmp_path / "t").rename(tmp_path / "gone")
+    s = board.refresh()["c"]
+    assert s.stale and s.error and [r.x for r in s.df.orderBy("order_id").collect()] == [1.0, 0.5]
+    with pytest.raises(BoardError):
+        Card("f", [lambda: None], ["a"]).to_json()
+
+
+def test_registered_tool_queries_leave_nothing_persisted(spark):
+    from ledgerlight.plans import tool_queries  # noqa: F401
+    from ledgerlight.plans.registry import QUERIES
+
+    spark.catalog.clearCache()
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for name in ("profit_bridge", "period_overview", "mrr_bridge", "inventory_asof"):
+        if name in QUERIES:
+            QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_json_safe(spark):
     df = spark.sql("SELECT double('NaN') AS a, date'2025-01-02' AS d, timestamp'2025-01-02 03:04:05' AS t, X'ab' AS b, 1.50BD AS x")
     assert tuple(results.json_safe(df).first()) == (None, "2025-01-02", "2025-01-02T03:04:05", "ab", 1.5)
@@ -64,9 +111,9 @@ def test_chart_contracts(spark):
     assert [(r.bar_start, r.bar_end) for r in w] == [(10.0, 15.0), (15.0, 13.0)]
 
 
-def test_board_filters_failures_and_drilldown(spark):
+def test_board_filters_failures_and_drilldown(spark, tmp_path):
     data = {"df": spark.createDataFrame([("a", "2025-01-01", 1.0), ("b", "2025-02-01", 2.0)], "channel string, d string, sales double").withColumn("d", F.to_date("d"))}
-    board = Board({"channel", "region"}, [Card("c", [lambda: data["df"]], ["channel", "sales"], {"channel": "channel"}, chart=charts.Chart("bar", ["sales"], "channel"), date_column="d", month_grain=True)])
+    board = Board({"channel", "region"}, [Card("c", [lambda: data["df"]], ["channel", "sales"], {"channel": "channel"}, chart=charts.Chart("bar", ["sales"], "channel"), date_column="d", month_grain=True)], store=results.ResultStore(spark, str(tmp_path)))
     assert board.refresh()["c"].df.count() == 2
     f = board.drill_down(Filters(), "channel", "b")
     assert [r.channel for r in board.refresh(f)["c"].df.collect()] == ["b"]
