@@ -1,33 +1,37 @@
 """Licence scans by canonical digests, in SQL functions only.
 
 A text is put into canonical form: lower case, equivalent spellings made one, lines of copyright notices dropped, every
-run of other characters than letters and digits one space. Its SHA-256 is joined with the digests of known
+run of other characters than letters and digits (of any script) one space. Its SHA-256 is joined with the digests of known
 licences in the same form. Entire texts are looked up, and each line of a text as a text of its own, since
-one-line licence notices are entire texts in this sense. The table of known licences is a fixed one of a few
-rows, so it is broadcast, and no text or line is shuffled.
+one-line licence notices are entire texts in this sense. Comment marks and line ends are such other characters, so a licence in a comment, or wrapped anew, keeps its digest.
+
+The known texts are a table that the caller gives, or by default the notices in KNOWN and the texts in licence_texts/. They are a fixed
+few, so their digests are broadcast, and no text or line is shuffled.
 
 Defined results: null and empty texts, and those with no letter or digit, have the digest of the empty text and no licence;
-repeated rows have equal results.
+repeated rows have equal results; very long texts are looked up whole; an empty table gives no rows; only the id and text columns are read, so other names cannot clash.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Equivalent spellings, applied in this order to lower-case text.
 SPELLINGS = [
     ("licence", "license"),
-    ("licenced", "licensed"),
     ("sub-license", "sublicense"),
     ("non-commercial", "noncommercial"),
     ("per cent", "percent"),
     ("merchantibility", "merchantability"),
     ("https://", "http://"),
 ]
-#: A line that states a copyright: dropped whole.
-COPYRIGHT_LINE = r"^[ \t]*(?:copyright|\(c\)|©)"
-NOT_CANONICAL = r"[^a-z0-9]+"
+#: A line that states a copyright, with its year or holder in brackets, or that all rights are reserved; comment marks may come first. Dropped whole.
+COPYRIGHT_LINE = r"^[ \t#*/;%!>-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:copyright|\(c\)|©)?[ \t:,]*(?:[0-9]{4}|[<\[{]|the regents|\(c\)|$)|all rights reserved\.?[ \t]*$)"
+NOT_CANONICAL = r"[^\p{L}\p{N}]+"
+TEXTS = Path(__file__).resolve().parent / "licence_texts"
 
 # Licence notices and licence texts by their public identifiers.
 KNOWN = [
@@ -60,6 +64,11 @@ KNOWN = [
 ]
 
 
+def default_licences() -> list[tuple[str, str]]:
+    """Names and texts: the notices above, and one file for each text, named by its identifier."""
+    return [*KNOWN, *((p.stem, p.read_text("utf-8")) for p in sorted(TEXTS.glob("*.txt")))]
+
+
 def canonical_line(line: Column) -> Column:
     """Canonical form of one line in lower case."""
     x = line
@@ -74,7 +83,7 @@ def canonical_lines(text: Column) -> Column:
 
 def known(spark: SparkSession, licences: list[tuple[str, str]] | None = None) -> DataFrame:
     """digest and licence of each known text; a canonical text that stands under two names takes the first in order."""
-    rows = spark.createDataFrame(licences or KNOWN, "license string, body string")
+    rows = spark.createDataFrame(licences or default_licences(), "license string, body string")
     return rows.select(F.sha2(F.array_join(canonical_lines(F.col("body")), " "), 256).alias("known"), "license").groupBy("known").agg(F.min("license").alias("license"))
 
 
@@ -102,7 +111,7 @@ def oracle_sql(licences: list[tuple[str, str]] | None = None) -> str:
         x = f"replace({x}, {quoted(a)}, {quoted(b)})"
     line = f"CASE WHEN regexp_matches(l, {quoted(COPYRIGHT_LINE)}) THEN '' ELSE trim(regexp_replace({x}, {quoted(NOT_CANONICAL)}, ' ', 'g')) END"
     lines = lambda c: f"list_filter(list_transform(string_split(lower(coalesce({c}, '')), chr(10)), lambda l: {line}), lambda l: l <> '')"
-    body = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licences or KNOWN)
+    body = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in licences or default_licences())
     return f"""
     WITH listed(license, body) AS (VALUES {body}),
     known AS (SELECT sha256(array_to_string({lines("body")}, ' ')) AS known, min(license) AS license FROM listed GROUP BY 1),
