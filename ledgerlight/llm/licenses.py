@@ -29,7 +29,7 @@ SPELLINGS = [
     ("https://", "http://"),
 ]
 #: A line that states a copyright, with its year or holder in brackets, or that all rights are reserved; comment marks may come first. Dropped whole.
-COPYRIGHT_LINE = r"^[ \t#*/;%!>-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:copyright|\(c\)|©)?[ \t:,]*(?:[0-9]{4}|[<\[{]|the[ \t]+regents|\(c\)|$)|all rights reserved\.?[ \t]*$)"
+COPYRIGHT_LINE = r"^[ \t#*/;%!>-]*(?:(?:copyright|\(c\)|©)[ \t]*(?:copyright|\(c\)|©)?[ \t:,]*(?:[0-9]{4}|[<\[{]|the[ \t]+regents|\(c\)|$)|all[ \t]+rights[ \t]+reserved\.?[ \t]*$)"
 NOT_CANONICAL = r"[^\p{L}\p{N}]+"
 TEXTS = Path(__file__).resolve().parent / "licence_texts"
 
