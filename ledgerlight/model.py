@@ -51,6 +51,9 @@ class Metric:
     filter: str | None = None
     time: str | None = None
     unit: str = ""
+    grain: tuple[str, ...] = ()
+    #: sum or distinct; by default distinct for non-additive metrics.
+    aggregate: str | None = None
 
 
 @dataclass(frozen=True)
@@ -160,7 +163,7 @@ def metric_table(df: DataFrame, metric: Metric, by: list[Column]) -> DataFrame:
     rows = df if metric.filter is None else df.filter(metric.filter)
     if metric.additivity == "ratio":
         value = F.try_divide(F.sum(F.expr(metric.value)).cast("double"), F.sum(F.expr(metric.denominator)).cast("double"))
-    elif metric.additivity == "non_additive":
+    elif (metric.aggregate or ("distinct" if metric.additivity == "non_additive" else "sum")) == "distinct":
         value = F.countDistinct(F.expr(metric.value))
     else:
         value = F.sum(F.expr(metric.value))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ledgerlight.functions.expr import pct_change, quarter_label, safe_divide, shapley_product
 
@@ -460,3 +461,16 @@ def evidence_statistics(e: Evidence, order: str) -> DataFrame:
 def adjacent_changes(df: DataFrame, order: str, value: str, limit: int = 80) -> DataFrame:
     """Change of each row against the row before it, for the first rows in order."""
     return df.orderBy(order).limit(limit).select(order, value, (c(value) - F.lag(value).over(Window.orderBy(order))).alias("change"))
+
+
+def all_adjacent_changes(e: Evidence, order: str, limit: int = 80) -> DataFrame:
+    """`adjacent_changes` of every numeric column, in long form."""
+    numeric = [f.name for f in e.df.schema.fields if isinstance(f.dataType, NumericType) and f.name != order]
+    items = F.array(*[F.struct(F.lit(n).alias("column"), c(n).cast("double").alias("value")) for n in numeric])
+    rows = e.df.orderBy(order).limit(limit).select(order, F.explode(items).alias("i")).select("i.column", order, "i.value")
+    return rows.withColumn("change", c("value") - F.lag("value").over(Window.partitionBy("column").orderBy(order)))
+
+
+def top_rows(e: Evidence, label: str, value: str, n: int = 5) -> DataFrame:
+    """The n rows with the largest values, ties by label; a value that is missing is no row."""
+    return e.df.filter(c(value).isNotNull()).orderBy(F.desc(value), label).limit(n).select(label, value)

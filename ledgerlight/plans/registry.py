@@ -12,13 +12,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Registers a builder that takes the tables of a folder, under its own name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a builder that takes the tables of a folder, under its own name or the one given."""
 
     def register(build: Callable[[Tables], DataFrame]):
-        QUERIES[build.__name__] = lambda spark, folder: build(Tables(spark, folder))
+        QUERIES[name or build.__name__] = lambda spark, folder: build(Tables(spark, folder))
         if sql is not None:
-            ORACLES[build.__name__] = sql
+            ORACLES[name or build.__name__] = sql
         return build
 
     return register

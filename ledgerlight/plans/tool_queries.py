@@ -374,6 +374,27 @@ def refund_share(t):
     return s.select("reason", F.round("refunded_amount", 2).alias("refunded_amount"), F.round("amount_share_pct", 4).alias("amount_share_pct"))
 
 
+def _share_by(dim):
+    @query(f"{_RR} SELECT {dim}, round(sum(refunded_amount), 2) AS refunded_amount, round(sum(refunded_amount) * 100 / sum(sum(refunded_amount)) OVER (), 4) AS amount_share_pct FROM RR GROUP BY 1", name=f"refund_share_{dim.removesuffix('_name')}")
+    def share(t):
+        s = run("refund_diagnosis", R.refund_cohort(t), R.refund_reasons(t)).tables[f"refund_{dim}"]
+        return s.select(dim, F.round("refunded_amount", 2).alias("refunded_amount"), F.round("amount_share_pct", 4).alias("amount_share_pct"))
+
+
+for _dim in ("product_name", "supplier_name"):
+    _share_by(_dim)
+
+
+@query(f"{FIN}, P AS ({R.OVERVIEW_SQL}) SELECT period, round(sales, 4) AS sales FROM P ORDER BY sales DESC, period LIMIT 5")
+def evidence_top_rows(t):
+    return shown(T.top_rows(Evidence(R.overview(t).select("period", "sales", "orders")), "period", "sales"), 4)
+
+
+@query(f"{FIN}, P AS ({R.OVERVIEW_SQL}), E AS (SELECT period, unnest(['sales', 'orders']) AS \"column\", unnest([sales, orders::DOUBLE]) AS v FROM P) SELECT \"column\", period, round(v, 4) AS value, round(v - lag(v) OVER (PARTITION BY \"column\" ORDER BY period), 4) AS change FROM E")
+def evidence_changes(t):
+    return shown(T.all_adjacent_changes(Evidence(R.overview(t).select("period", "sales", "orders")), "period"), 4)
+
+
 @query(
     f"{FIN}, P AS ({R.OVERVIEW_SQL}), E AS (SELECT unnest(['sales', 'orders']) AS \"column\", unnest([sales, orders::DOUBLE]) AS v, period FROM P) SELECT \"column\", round(min(v), 4) AS low, round(max(v), 4) AS high, round(sum(v), 4) AS total, round(arg_min(v, period), 4) AS first, round(arg_max(v, period), 4) AS last, round(arg_max(v, period) - arg_min(v, period), 4) AS delta, round((arg_max(v, period) - arg_min(v, period)) / arg_min(v, period) * 100, 4) AS change_pct FROM E GROUP BY 1"
 )
