@@ -4,10 +4,12 @@ Only headers (page, address, payload digest and length) are shuffled by payload
 largest page is its response and the others revisit it. The decisions are joined back to the
 pages by page and digest, so no key holds more payloads than one page has. The archives are written by
 Spark's own writer to any file system that Spark knows: one record after the other, gzip-compressed
-files of a bounded number of records, each file a valid WARC 1.1 file under gzip. Reading takes whole files and follows Content-Length.
+files of a bounded number of records, each file a valid WARC 1.1 file under gzip (one stream a file: Spark's writers have no members). Reading streams each file as pieces between
+version lines and follows Content-Length, so a version line inside a payload ends nothing, and a task holds a batch of records, never a file.
 
 Defined results: a null payload is empty and counts as equal to other empty ones; a null page id is smaller than all others and has no
-X-Page-Id header; rows with the same page and payload are all responses if they are the largest; an empty table gives no files and no rows.
+X-Page-Id header; rows with the same page and payload are all responses if they are the largest; an empty table gives no files and no rows; only the id, address and payload columns are read,
+so other names cannot clash.
 """
 
 from __future__ import annotations
@@ -90,28 +92,56 @@ def records(data: bytes):
         at += 4
 
 
+_VERSION = "WARC/1.1\r\n"
+_NAMES = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+
+def _row(record: bytes, start: int) -> tuple:
+    """The values of one whole record (without its version line); its payload is checked against digest and length."""
+    head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in record[: start - 4].decode("utf-8").split("\r\n"))}
+    http, _, payload = record[start:-4].partition(b"\r\n\r\n")
+    digest, length = head["warc-payload-digest"].removeprefix("sha1:"), int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
+    response = head["warc-type"] == "response"
+    if response and (base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != length):
+        raise ValueError(f"payload of {head['warc-record-id']} differs from its digest")
+    ids = [head.get("x-page-id"), head.get("x-refers-to-page-id")]
+    return ids[0] and int(ids[0]), length, digest, head["warc-type"], ids[1] and int(ids[1]), head["warc-target-uri"], payload if response else None
+
+
 def _parse(batches):
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+    """Rows of the records of files, which come one after the other as the pieces between their version lines."""
+    file, parts, have, start, size = None, [], 0, 0, 0  # the open record: its parts and their bytes, where its block starts, its whole length (0: none is open)
     for b in batches:
-        for content in b.column(0):
-            out: list[list] = [[] for _ in names]
-            for head, block in records(gzip.decompress(content.as_py())):
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest, length = head["warc-payload-digest"].removeprefix("sha1:"), int(re.search(rb"(?i)content-length: *(\d+)", http)[1])
-                if head["warc-type"] == "response":
-                    if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest or len(payload) != length:
-                        raise ValueError(f"payload of {head['warc-record-id']} differs from its digest")
-                ids = [head.get("x-page-id"), head.get("x-refers-to-page-id")]
-                for o, v in zip(out, (ids[0] and int(ids[0]), length, digest, head["warc-type"], ids[1] and int(ids[1]), head["warc-target-uri"], payload if head["warc-type"] == "response" else None), strict=True):
-                    o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names)
+        out: list[tuple] = []
+        for name, piece in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            data = piece.as_buffer().to_pybytes()
+            if name != file:
+                if size or data:
+                    raise ValueError(f"{file if size else name}: a record is cut off")
+                file = name
+                continue
+            if size:  # a version line inside a payload
+                parts += [_VERSION.encode(), data]
+                have += len(_VERSION) + len(data)
+            else:
+                parts, have, start = [data], len(data), data.index(b"\r\n\r\n") + 4
+                size = start + int(re.search(rb"(?im)^content-length: *(\d+)", data[:start])[1]) + 4
+            if have > size:
+                raise ValueError(f"{file}: a record is longer than it says")
+            if have == size:
+                out.append(_row(b"".join(parts), start))
+                parts, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), _KINDS, strict=True)], _NAMES)
+    if size:
+        raise ValueError(f"{file}: a record is cut off")
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """One row for each record of the archives under path; whole payloads of responses if asked for."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    keep = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"][: 7 if payloads else 6]
+    files = spark.read.option("pathGlobFilter", "part-*").option("lineSep", _VERSION).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary"))
+    keep = _NAMES[: 7 if payloads else 6]
 
     def run(batches):
         for b in _parse(batches):

@@ -3,6 +3,8 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import pytest
+
 from ledgerlight.llm import warc
 from ledgerlight.llm.common import new_path, ship
 
@@ -42,6 +44,21 @@ def test_awkward_pages_and_least_size(spark):
         got = found(warc.round_trip(pages, least_bytes=least))
         assert got == expected([(i, h) for i, _, h in rows], least)
     assert warc.round_trip(pages.limit(0)).collect() == []
+    assert found(warc.round_trip(pages, file_bytes=100)) == expected([(i, h) for i, _, h in rows])  # payloads above a file's size
+
+
+def test_damaged_files_are_refused(spark):
+    ship(spark)
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "<p>" + "x" * k) for k in range(6)], "page_id long, url string, html string").coalesce(1)
+    for damage in (lambda x: x[:-30], lambda x: x.replace(b"<p>xx", b"<p>xy"), lambda x: x.replace(b"<p>xxx", b"<p>xxxx"), lambda x: b"junk" + x):
+        path = new_path(spark, "warc-damaged")
+        warc.write(pages, path)
+        for p in Path(path.removeprefix("file:")).glob("part-*"):
+            p.write_bytes(gzip.compress(damage(gzip.decompress(p.read_bytes()))))
+        for p in Path(path.removeprefix("file:")).glob(".*.crc"):
+            p.unlink()
+        with pytest.raises(Exception):
+            warc.read(spark, path).collect()
 
 
 def test_files_are_warc_and_hold_each_payload_once(spark):
