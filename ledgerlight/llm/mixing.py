@@ -7,11 +7,11 @@ probability 0 or 1; the other one, still fractional, meets the next document. So
 its expectation and each source ends within one document of its target.
 
 Documents are dealt into buckets of bounded size by a hash of their content, each bucket is reduced by one task,
-and what is left (one document for each source and bucket at most) goes up a reduction tree. All random
+and what is left (one document for each source and bucket at most) goes up a reduction tree, many sources in slices of their own. All random
 numbers are hashes of the rows, so a rerun agrees whatever the partitioning was.
 
 Defined results: null or empty texts have size 0 and are taken 0 times; a null source is a source of its own, last;
-a source without words has target 0; repeated rows are rounded one by one; an empty table gives an empty one.
+a source without words has target 0; repeated rows are rounded one by one; very long texts are only counted; an empty table gives an empty one; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ from .common import WORD, free_name, packed, partitions, stage
 
 BUCKET_ROWS = 20_000
 FAN_IN = 64
-_ROW = "doc_id long, source string, size long, key long, bucket long, whole long, p double"
+#: Different sources in a slice: sources beyond this many are dealt into slices that never meet, so the last level of the tree is as bounded as the others.
+SLICE_SOURCES = 4096
+_ROW = "doc_id long, source string, size long, key long, slice long, bucket long, whole long, p double"
 
 
 def source_targets(totals: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """(source, source_size) with the target of each: weights repeat in code-point order, nulls last; a target that its cap stops passes its excess on by weight.
 
-    One row for each source is ordered in one task; documents never are.
+    One row of three numbers for each source is ordered in one task; documents never are. The order of all sources decides their weights, so these windows
+    cannot be dealt out; a million sources are some 50 MB there.
     """
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
@@ -124,15 +127,15 @@ def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = stage(source_targets(totals, weights, share, cap), "targets")
-    n = sized.count()
+    n, slices = sized.count(), partitions(targets.count(), SLICE_SOURCES)
     buckets = partitions(n, bucket_rows)
     t = targets.select(F.col("source").alias("of"), "source_size", "target", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)).alias("rate"))
     rows = sized.join(t, F.col("source").eqNullSafe(F.col("of")), "inner").select(
-        "doc_id", "source", "size", "key", F.pmod("key", F.lit(buckets)).alias("bucket"), F.floor("rate").cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)).alias("p")
+        "doc_id", "source", "size", "key", F.pmod(F.xxhash64("source"), F.lit(slices)).alias("slice"), F.pmod("key", F.lit(buckets)).alias("bucket"), F.floor("rate").cast("long").alias("whole"), F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(F.lit(0.0)).alias("p")
     )
     done, level = None, 0
     while True:
-        rows = stage(rows.groupBy("bucket").applyInPandas(_reduce(seed + level, buckets == 1), _ROW), f"round{level}")
+        rows = stage(rows.groupBy("slice", "bucket").applyInPandas(_reduce(seed + level, buckets == 1), _ROW), f"round{level}")
         if buckets == 1:
             break
         decided = rows.filter((F.col("p") <= 0) | (F.col("p") >= 1))
