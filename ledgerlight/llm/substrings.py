@@ -4,14 +4,16 @@ Level 1 looks at half windows (25 of 50 words). Of the 26 half windows in a wind
 hash stands for it, so two equal windows always agree in it, and only about one half window
 in thirteen is shuffled. Half windows that occur in two documents survive; level 2 extends them to whole windows,
 and only windows around survivors are hashed and shuffled. A window that occurs in a document with a smaller
-id is removed. Longer windows are unions of these, so no further level can remove another word.
-Texts of equal word sequences are represented by the one with the smallest id in both levels.
+id is removed. Longer windows are unions of these, so `deduplicate` can stop there: no further level removes another word.
+`repeats` goes on: a window of twice the length is a candidate if its two halves survived, until no candidates survive or a longest length is reached.
+Texts of equal word sequences are represented by the one with the smallest id in the first two levels.
 
 Windows are compared by 64-bit hashes of words in order. No group is gathered in one task: counts are
 combined before the shuffle, and survivors are joined back, which adaptive execution can split.
 
 Defined results: null and empty texts have no words and keep the digest of nothing; texts shorter than a window lose nothing; rows
-with equal ids do not remove each other's words; a null id counts as larger than all others; repeated rows have equal results.
+with equal ids do not remove each other's words; a null id counts as larger than all others; repeated rows have equal results; very long texts are worked on whole; an empty table gives no rows; only
+the id and text columns are read, so other names cannot clash.
 """
 
 from __future__ import annotations
@@ -144,6 +146,58 @@ def _cut(window: int):
     return run
 
 
+def _double(length: int):
+    """Windows of twice the length whose halves both survived, as the places where they start and their hashes."""
+
+    def run(batches):
+        for b in batches:
+            starts = b.column(3)
+            soffs, sv = np.asarray(starts.offsets), np.asarray(starts.values)
+            for lo, hi, buf, offs in tv.slices(b.column(2)):
+                s, e, first = tv.words(buf, offs)
+                full = tv.rolling(tv.hashes(buf, s, e), 2 * length)
+                mine, row = first[:-1].repeat(np.diff(soffs[lo : hi + 1])) + sv[soffs[lo] : soffs[hi]], np.repeat(np.arange(hi - lo), np.diff(soffs[lo : hi + 1]))
+                pair = np.isin(mine + length + row * (len(s) + 1), mine + row * (len(s) + 1)) & (mine + 2 * length <= first[row + 1])
+                at, of = mine[pair], row[pair]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), _lists(full[at].view(np.int64), of, hi - lo, np.int64), _lists(at - first[of], of, hi - lo, np.int32)], ["did", "tkey", "text", "windows", "starts"])
+
+    return run
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, longest: int | None = None) -> DataFrame:
+    """doc_id, length, starts: for each level of window, twice window and so on, the words at which a repeated window of that length starts in a document.
+
+    A window is repeated if it starts at two places, in one document or two. Levels end when no candidates survive, or beyond `longest`. Equal rows are one document.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("did"), F.xxhash64(text).alias("tkey"), text.alias("text")).dropDuplicates(["did", "tkey"])
+    shape = "did long, tkey long, text string, windows array<long>, starts array<int>"
+    level, length, out = stage(src.mapInArrow(_every(window), shape), "level"), window, None
+    while True:
+        each = level.select("did", "tkey", F.explode(F.arrays_zip("windows", "starts")).alias("z")).select("did", "tkey", F.col("z.windows").alias("w"), F.col("z.starts").alias("start"))
+        twice = stage(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w"), "twice")
+        kept = stage(each.join(twice, "w").groupBy("did", "tkey").agg(F.array_sort(F.collect_list("start")).alias("starts")), "kept")
+        found = kept.select(F.when(F.col("did") != _LAST, F.col("did")).alias("doc_id"), F.lit(length).alias("length"), "starts")
+        out = found if out is None else out.unionByName(found)
+        if kept.isEmpty() or longest is not None and 2 * length > longest:
+            return out
+        level = stage(src.join(kept, ["did", "tkey"]).select("did", "tkey", "text", "starts").mapInArrow(_double(length), shape), "level")
+        length *= 2
+
+
+def _every(window: int):
+    def run(batches):
+        for b in batches:
+            for lo, hi, buf, offs in tv.slices(b.column(2)):
+                s, e, first = tv.words(buf, offs)
+                h = tv.hashes(buf, s, e)
+                at = np.flatnonzero(tv.inside(first, window, len(h)))
+                doc = np.repeat(np.arange(hi - lo), np.diff(first))[at]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), _lists(tv.rolling(h, window)[at].view(np.int64), doc, hi - lo, np.int64), _lists(at - first[doc], doc, hi - lo, np.int32)], ["did", "tkey", "text", "windows", "starts"])
+
+    return run
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256."""
     if window < 2 or window % 2:
