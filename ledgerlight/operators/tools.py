@@ -24,6 +24,8 @@ PROFIT = ["gross_sales", *COSTS]
 FUNNEL = ["registered", "activated", "trial_started", "paid"]
 MRR = ["new", "expansion", "contraction", "churn", "reactivation"]
 DRIVERS = ["open_days_effect", "daily_traffic_effect", "conversion_effect", "aov_effect"]
+#: The bounds of evidence that is read from a local table.
+LOCAL_ROWS, LOCAL_BYTES = 20_000, 10 << 20
 LOW_SAMPLE, STALE_DAYS, SHORT_DAYS, LONG_DAYS, AHEAD = 30, 7, 7, 90, 14
 TOOLS: dict[str, Callable[[DataFrame, dict, AnalysisResult], None]] = {}
 
@@ -36,8 +38,9 @@ def tool(f):
 def run_analysis(name: str, inputs: list[Evidence], config: dict | None = None) -> AnalysisResult:
     """Runs a tool; a violated precondition gives status insufficient_data with its reason and nothing else.
 
-    The input is read several times, by its checks and by each output, so it is persisted (memory, then disk) unless config
-    says persist=False; result.release() lets it go.
+    The input is read several times, by its checks and by each output. It is persisted while it is measured: up to LOCAL_ROWS rows and LOCAL_BYTES bytes, the size that evidence of a query result has at
+    most, it becomes a local table and is computed once; a larger one stays persisted (memory, then disk) and result.release() lets it go. Either way the outputs are the same.
+    config: persist=False leaves the input as it is.
     """
     if name not in TOOLS:
         raise KeyError(name)
@@ -45,9 +48,18 @@ def run_analysis(name: str, inputs: list[Evidence], config: dict | None = None)
     kept = None
     try:
         e = pick(inputs, config)
-        kept = e.df.persist() if config.get("persist", True) and not e.df.is_cached else None
+        df = e.df
+        if config.get("persist", True) and not df.is_cached:
+            kept = df.persist()
+            few = kept.limit(LOCAL_ROWS + 1).toArrow()
+            if few.num_rows <= LOCAL_ROWS and few.nbytes <= LOCAL_BYTES:
+                df = df.sparkSession.createDataFrame(few, df.schema)
+                kept.unpersist()
+                kept = None
+            else:
+                df = kept
         result = AnalysisResult(name, evidence_ids=[e.id], kept=kept)
-        TOOLS[name](e.df if kept is None else kept, config, result)
+        TOOLS[name](df, config, result)
         enrich(name, inputs, config, result)
         return result
     except InsufficientData as reason:

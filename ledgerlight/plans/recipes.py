@@ -30,16 +30,23 @@ FIN AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, order_date, O.m
 PROFIT_SQL = "sales - cogs - refunds - fulfillment - payment_fees - marketing"
 
 
-def financials(t):
-    """One row for each completed order: sales, costs, refunds within 30 days inclusive, a month's marketing shared out by sales."""
-    lines = t.lineitem.join(t.part.select("p_partkey", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey").agg(
+def financials(t, start: str | None = None, end: str | None = None):
+    """One row for each completed order: sales, costs, refunds within 30 days inclusive, a month's marketing shared out by sales.
+
+    start, end: first days of months, half-open; only orders between them, and their lines, are read into the aggregates. Whole months, so that a month's sales are whole.
+    """
+    chosen = t.orders.filter("o_orderstatus <> 'P'")
+    if start is not None:
+        chosen = chosen.filter(X.in_half_open(c("o_orderdate"), date(start), date(end)))
+    items = t.lineitem if start is None else t.lineitem.join(chosen.select("o_orderkey"), c("l_orderkey") == c("o_orderkey"), "left_semi")
+    lines = items.join(t.part.select("p_partkey", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey").agg(
         F.sum("l_extendedprice").alias("gross_sales"), F.sum(c("l_extendedprice") * c("l_discount")).alias("discounts"), F.sum(c("l_quantity") * c("p_retailprice") * 0.01).alias("cogs"),
         F.sum(c("l_extendedprice") * c("l_tax")).alias("payment_fees"), (F.count("*") * 2.0).alias("fulfillment"),
     )
-    dated = t.orders.select("o_orderkey", "o_orderdate")
+    dated = (t.orders if start is None else chosen).select("o_orderkey", "o_orderdate")
     back = t.lineitem.filter("l_returnflag = 'R'").join(dated, c("l_orderkey") == c("o_orderkey")).filter(X.within_days_inclusive(c("l_shipdate"), c("o_orderdate"), 30))
     back = back.groupBy(c("l_orderkey").alias("back_key")).agg(F.sum(c("l_extendedprice") * (1 - c("l_discount"))).alias("refunds"))
-    orders = t.orders.filter("o_orderstatus <> 'P'").join(lines, c("o_orderkey") == c("l_orderkey")).select(
+    orders = chosen.join(lines, c("o_orderkey") == c("l_orderkey")).select(
         c("o_orderkey").alias("order_id"), c("o_custkey").alias("customer_id"), c("o_orderdate").alias("order_date"), X.month_label(c("o_orderdate")).alias("month"), c("o_orderpriority").alias("channel"), (c("gross_sales") - c("discounts")).alias("sales"), "gross_sales", "discounts", "cogs", "fulfillment", "payment_fees",
     )
     month = orders.groupBy("month", "channel").agg(F.sum("sales").alias("month_sales"))
@@ -56,7 +63,7 @@ OVERVIEW_SQL = f"SELECT month AS period, count(*) AS orders, {', '.join(f'sum({m
 
 
 def overview(t):
-    f = financials(t).filter(X.in_half_open(c("order_date"), date("1997-01-01"), date("1998-01-01")))
+    f = financials(t, "1997-01-01", "1998-01-01")
     return f.groupBy(c("month").alias("period")).agg(F.count("*").alias("orders"), *[F.sum(m).alias(m) for m in MEASURES], F.sum(contribution()).alias("contribution_profit"))
 
 
@@ -70,8 +77,10 @@ FROM FIN JOIN C ON order_id = l_orderkey WHERE order_date >= DATE '1997-07-01' A
 
 def grouped_profit(t):
     """period x channel x category of two quarters; an order's costs go to its categories by their share of its gross sales."""
-    cat = t.lineitem.join(t.part.select("p_partkey", "p_type", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey", c("p_type").alias("category")).agg(F.sum("l_extendedprice").alias("cg"), F.sum(c("l_quantity") * c("p_retailprice") * 0.01).alias("cc"))
-    f = financials(t).filter(X.in_half_open(c("order_date"), date("1997-07-01"), date("1998-01-01"))).join(cat, c("order_id") == c("l_orderkey"))
+    window = ("1997-07-01", "1998-01-01")
+    chosen = t.orders.filter("o_orderstatus <> 'P'").filter(X.in_half_open(c("o_orderdate"), *map(date, window))).select("o_orderkey")
+    cat = t.lineitem.join(chosen, c("l_orderkey") == c("o_orderkey"), "left_semi").join(t.part.select("p_partkey", "p_type", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey", c("p_type").alias("category")).agg(F.sum("l_extendedprice").alias("cg"), F.sum(c("l_quantity") * c("p_retailprice") * 0.01).alias("cc"))
+    f = financials(t, *window).join(cat, c("order_id") == c("l_orderkey"))
     return f.groupBy(X.quarter_label(c("order_date")).alias("period"), "channel", "category").agg(F.sum("cg").alias("gross_sales"), F.sum("cc").alias("cogs"), *[F.sum(X.safe_divide(c(m) * c("cg"), c("gross_sales"))).alias(m) for m in COST_NAMES])
 
 
@@ -114,7 +123,7 @@ CC AS (SELECT FP.o_custkey AS customer_id, first_date, CASE WHEN first_date >= D
 
 def customer_cohort(t):
     p = first_purchase(t)
-    f = financials(t).filter(X.in_half_open(c("order_date"), date("1997-01-01"), date("1998-01-01"))).groupBy("customer_id").agg(F.sum("sales").alias("sales"), F.sum(contribution()).alias("contribution_profit"))
+    f = financials(t, "1997-01-01", "1998-01-01").groupBy("customer_id").agg(F.sum("sales").alias("sales"), F.sum(contribution()).alias("contribution_profit"))
     n = t.orders.filter("o_orderstatus <> 'P'").join(p, "o_custkey").filter(X.in_half_open(c("o_orderdate"), c("first_date"), F.date_add("first_date", 90))).groupBy("o_custkey").agg(F.count("*").alias("n"))
     return p.join(n, "o_custkey", "left").join(f, c("customer_id") == c("o_custkey"), "left").select(
         c("o_custkey").alias("customer_id"), "first_date", F.when(c("first_date") >= date("1996-01-01"), "new").otherwise("existing").alias("customer_kind"), F.coalesce("sales", F.lit(0.0)).alias("sales"), F.coalesce("contribution_profit", F.lit(0.0)).alias("contribution_profit"),

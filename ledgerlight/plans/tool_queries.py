@@ -16,8 +16,8 @@ c = F.col
 
 
 def shown(df, places=4, **cast):
-    """The final projection: every double rounded."""
-    return df.select(*[F.round(n, places).alias(n) if t == "double" else c(n) for n, t in df.dtypes])
+    """The final projection: every double rounded, zeros without a sign."""
+    return df.select(*[(F.round(n, places) + F.lit(0.0)).alias(n) if t == "double" else c(n) for n, t in df.dtypes])
 
 
 def run(name, *inputs, **config):
@@ -63,7 +63,7 @@ def _delta(m):
     return f"{_SIGN[m]} * (sum(CASE WHEN period = '1997-Q4' THEN {m} ELSE 0 END) - sum(CASE WHEN period = '1997-Q3' THEN {m} ELSE 0 END))"
 
 
-@query(f"{_GROUPED} " + " UNION ALL ".join(f"SELECT {k}::INT AS place, '{m}' AS component, round({_delta(m)}, 2) AS delta FROM G" for k, m in enumerate(_PARTS)))
+@query(f"{_GROUPED} " + " UNION ALL ".join(f"SELECT {k}::INT AS place, '{m}' AS component, round({_delta(m)}, 2) + 0.0 AS delta FROM G" for k, m in enumerate(_PARTS)))
 def profit_bridge(t):
     return shown(run("profit_bridge", R.grouped_profit(t)).series, 2)
 
@@ -73,7 +73,7 @@ _PROFIT = "gross_sales - discounts - refunds - cogs - fulfillment - payment_fees
 
 def _grouped_sql(dim):
     side = lambda p: f"sum(CASE WHEN period = '{p}' THEN {_PROFIT} ELSE 0 END)"
-    effects = ", ".join(f"round({_delta(m)}, 2) AS {m}_effect" for m in _PARTS)
+    effects = ", ".join(f"round({_delta(m)}, 2) + 0.0 AS {m}_effect" for m in _PARTS)
     return f"{_GROUPED} SELECT {dim}, round({side('1997-Q3')}, 2) AS profit_before, round({side('1997-Q4')}, 2) AS profit_after, round({side('1997-Q4')} - {side('1997-Q3')}, 2) AS profit_delta, {effects} FROM G GROUP BY 1"
 
 
