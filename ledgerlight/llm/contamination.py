@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Tokens are runs of letters and digits in lower case. A mask names seven of up to thirteen consecutive tokens; the other
+Tokens are runs of letters and digits in lower case. A mask names six or seven of up to fifteen consecutive tokens; the other
 positions are ignored, so a replaced token breaks only the seeds that look at it. Seeds of all benchmark items are hashed
 and joined with the seeds of every document. Each hit is verified at once on the tokens around it: the item's window of up to 24
 tokens is laid over the document where the hit puts it, and the share of equal tokens must reach a bound.
@@ -10,8 +10,8 @@ all documents, so no document is shuffled and no key is hot. Texts are cut into
 so that a very long one takes no more memory than others. A piece stays beside its exploded seeds until the verification, which
 runs in the same stage, in generated code up to the join; what is shuffled afterwards is one small row for each document and item hit.
 
-Defined results: null and empty texts, and texts or items with fewer than seven tokens, hit nothing; repeated items count once; rows with
-equal ids and texts give one row for each item; a null document or item id is kept as null.
+Defined results: null and empty texts and items hit nothing; an item with fewer than seven tokens is found where a document is that item and nothing else; repeated items count once; rows with
+equal ids and texts give one row for each item; a null document or item id is kept as null; very long texts are searched whole, in pieces; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import packed, partitions, stage
 
 # Fixed values of this method: token positions that each mask looks at.
-MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 6, 8, 9, 11), (0, 1, 4, 5, 6, 10, 12)]
+MASKS = [(0, 1, 2, 3, 4, 5, 6), (0, 1, 3, 4, 7, 9, 10), (0, 2, 3, 6, 8, 9, 11), (0, 1, 4, 5, 6, 10, 12), (0, 1, 3, 5, 6, 7), (0, 2, 5, 9, 12, 13, 14), (0, 1, 2, 9, 10, 11, 13), (0, 1, 2, 4, 5, 7, 8)]
+#: Items of fewer tokens have no seed and are found as whole texts.
+LEAST = 7
 WINDOW, BEFORE, SHARE = 24, 6, 0.7
 #: Seeds of the benchmark that are broadcast at once, each with its window: 200 bytes or so.
 BLOCK_SEEDS = 150_000
@@ -71,6 +73,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     for b in range(blocks):
         some = F.broadcast(s.filter(F.pmod("key", F.lit(blocks)) == b).withColumnRenamed("key", "of"))
         parts.append(all_seeds.join(some, F.col("key") == F.col("of")).select("doc_id", "tkey", "item_id", (same / F.size("win")).alias("overlap")))
+    # items too short for a seed, as whole texts
+    brief = lambda col: F.size(col).between(1, LEAST - 1)
+    short = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("h")).filter(brief("h")).distinct()
+    parts.append(src.filter(brief("all")).join(short, F.col("all") == F.col("h")).select("doc_id", "tkey", "item_id", F.lit(1.0).alias("overlap")))
     # the bound comes after the aggregate: as a condition of the join it would end the generated code before it, and each seed would be a row with its piece
     return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tkey", "item_id").agg(F.max("overlap").alias("overlap")).filter(F.col("overlap") >= share)
 
@@ -96,5 +102,5 @@ def oracle_sql(share: float = SHARE) -> str:
     bs AS (SELECT item_id, w, p, mask, list_transform(offs, lambda o: w[p + o]) AS k, greatest(1, least(p - {BEFORE}, len(w) - {WINDOW} + 1)) AS lo FROM bp, masks WHERE p + list_max(offs) <= len(w)),
     hit AS (SELECT DISTINCT doc_id, item_id, ds.w AS dw, bs.w[bs.lo : bs.lo + {WINDOW - 1}] AS win, ds.p - (bs.p - bs.lo) AS s FROM ds JOIN bs USING (mask, k)),
     seen AS (SELECT doc_id, item_id, len(list_filter(range(0, len(win)), lambda j: s + j >= 1 AND coalesce(dw[CASE WHEN s + j >= 1 THEN s + j ELSE len(dw) + 1 END] = win[j + 1], false))) / len(win) AS overlap FROM hit)
-    SELECT doc_id, item_id, max(overlap) AS overlap FROM seen WHERE overlap >= {share} GROUP BY doc_id, item_id
+    SELECT doc_id, item_id, max(overlap) AS overlap FROM (SELECT doc_id, item_id, overlap FROM seen UNION ALL SELECT doc_id, item_id, 1.0 FROM d JOIN b ON d.w = b.w WHERE len(b.w) BETWEEN 1 AND {LEAST - 1}) WHERE overlap >= {share} GROUP BY doc_id, item_id
     """
