@@ -38,7 +38,9 @@ GATES, PRIOR, RATE = 24, 0.4, 0.05
 #: A word closes a chunk if these bits of its hash are zero.
 CHUNK_MASK = np.uint64(15)
 #: Bytes that are worked on at once; different byte strings after which a task learns from what it has counted.
-BLOCK, LEARN_AT = 1 << 20, 2 << 20
+BLOCK, LEARN_AT = 1 << 19, 2 << 20
+#: Bytes of texts whose words and chunks are merged before they leave a task.
+GATHER = 1 << 24
 #: Slots of a table row on its way to the sum.
 CELL = 1 << 14
 #: Words whose counts every task knows, slots of the table that has them (of two words in a slot the more frequent), and bits of the map of contexts that can help.
@@ -320,7 +322,7 @@ def _count(batches):
             first, value, opens = chunks(h, doc)
             pairs.append((_before(value)[~opens], value[~opens], own[first[~opens]].astype(np.int64)))
             size += len(buf)
-            if size > 8 * BLOCK:
+            if size > GATHER:
                 yield from flush()
                 words, pairs, size = [], [], 0
     if words:
@@ -533,7 +535,7 @@ def _postings(shared):
                 sums[2] += np.bincount(row[~joins], log[~joins], minlength=b.num_rows)
                 follow.append((ctx[joins], value[joins], row[joins], log[joins]))
                 done += len(buf)
-                if done > 8 * BLOCK:
+                if done > GATHER:
                     yield from flush()
                     words, follow, done = [], [], 0
             if words:
