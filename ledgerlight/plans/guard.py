@@ -285,7 +285,7 @@ def guarded_sql(spark: SparkSession, sql: str, model: Model, *, allowed: set[str
 
 
 # What an error is called.
-KINDS = [("timeout", "cancel|timeout|timed out"), ("policy", "PolicyError|not allowed|not an approved"), ("aggregation", "GROUP_BY|AGGREGAT"), ("dialect", "PARSE_SYNTAX|syntax|UNRESOLVED_ROUTINE"), ("type", "DATATYPE|CAST_|TYPE_MISMATCH"), ("schema", "UNRESOLVED_COLUMN|TABLE_OR_VIEW|NOT_FOUND|AMBIGUOUS")]
+KINDS = [("timeout", "cancel|timeout|timed out"), ("policy", "^PolicyError "), ("aggregation", "GROUP_BY|AGGREGAT"), ("dialect", "PARSE_SYNTAX|syntax|UNRESOLVED_ROUTINE"), ("type", "DATATYPE|CAST_|TYPE_MISMATCH"), ("schema", "UNRESOLVED_COLUMN|TABLE_OR_VIEW|NOT_FOUND|AMBIGUOUS")]
 
 
 def error_kind(e: Exception) -> str:

@@ -52,3 +52,34 @@ def test_zero_denominators_and_missing_snapshots(spark):
     # a product that was not counted is in neither the numerator nor the denominator
     n, zero = rows.agg(F.count("*"), F.count_if(F.col("stock") == 0)).first()
     assert metric_table(rows, rate, []).first()[0] == pytest.approx(zero / n)
+
+
+# mistakes that do not run, with the kind of error that is said, and the repair with its rows
+REPAIRS = [
+    ("SELECT channel, sum(order_total) AS s FROM rp_orders", "SELECT channel, sum(order_total) AS s FROM rp_orders GROUP BY channel ORDER BY channel", [("ads", 80.0), ("search", 300.0)], "aggregation"),
+    ("SELECT sum(amount) AS s FROM rp_orders o JOIN rp_refunds r ON o.order_id = r.order_id WHERE status = 'done'", "SELECT sum(r.amount) AS s FROM rp_orders o JOIN rp_refunds r ON o.order_id = r.order_id WHERE r.status = 'done'", [(30.0,)], "schema"),
+    ("SELECT avg(sum(amount)) AS s FROM rp_refunds GROUP BY order_id", "WITH per_order AS (SELECT order_id, sum(amount) AS a FROM rp_refunds GROUP BY order_id) SELECT avg(a) AS s FROM per_order", [(35.0,)], "aggregation"),
+    ("SELECT sum(quantity) AS s FROM rp_orders", "SELECT sum(order_total) AS s FROM rp_orders", [(380.0,)], "schema"),
+    ("SELECT strftime_month(day) AS m FROM rp_orders", "SELECT date_format(day, 'yyyy-MM') AS m, count(*) AS n FROM rp_orders GROUP BY 1 ORDER BY 1", [("2025-01", 2), ("2025-02", 1)], "dialect"),
+]
+
+
+@pytest.mark.parametrize("broken, fixed, rows, kind", REPAIRS)
+def test_mistakes_that_do_not_run(spark, broken, fixed, rows, kind):
+    from ledgerlight.plans.guard import error_kind
+
+    spark.sql("SELECT * FROM VALUES (1, 'ads', 80.0D, 'done', DATE'2025-01-02'), (2, 'search', 100.0D, 'done', DATE'2025-01-09'), (3, 'search', 200.0D, 'open', DATE'2025-02-01') AS t(order_id, channel, order_total, status, day)").createOrReplaceTempView("rp_orders")
+    spark.sql("SELECT * FROM VALUES (1, 1, 30.0D, 'done'), (2, 2, 40.0D, 'open') AS t(refund_id, order_id, amount, status)").createOrReplaceTempView("rp_refunds")
+    with pytest.raises(Exception) as e:
+        spark.sql(broken).collect()
+    assert error_kind(e.value) == kind
+    assert [tuple(r) for r in spark.sql(fixed).collect()] == rows
+
+
+def test_repairs_change_the_number(spark):
+    from ledgerlight.plans import examples  # noqa: F401
+
+    names = [n for n in QUERIES if n.startswith("repair_")]
+    assert len(names) + len(REPAIRS) == 12
+    for n in names:
+        assert not QUERIES[n](spark, SF.replace("0.001", "0.01")).filter("broken <> repaired").isEmpty(), n
