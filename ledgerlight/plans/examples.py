@@ -66,10 +66,10 @@ def example_mrr_points(t):
     return sums.select(F.explode(items).alias("i")).select("i.month", "i.mrr")
 
 
-@query("SELECT s_name AS store, round(sum(l_extendedprice), 2) AS sales, round(sum(l_extendedprice) / count(DISTINCT l_orderkey), 4) AS aov FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate >= DATE '1997-10-01' AND l_shipdate < DATE '1998-01-01' GROUP BY 1")
+@query("SELECT s_name AS store, round(sum(l_extendedprice), 2) AS sales, round(sum(l_extendedprice) / count(DISTINCT l_orderkey), 0) AS aov FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_shipdate >= DATE '1997-10-01' AND l_shipdate < DATE '1998-01-01' GROUP BY 1")
 def example_store_sales(t):
     rows = t.lineitem.filter(X.in_half_open(c("l_shipdate"), date("1997-10-01"), date("1998-01-01"))).groupBy("l_suppkey").agg(F.sum("l_extendedprice").alias("s"), F.countDistinct("l_orderkey").alias("n"))
-    return rows.join(t.supplier, c("l_suppkey") == c("s_suppkey")).select(c("s_name").alias("store"), _r("s").alias("sales"), _r(c("s") / c("n"), 4).alias("aov"))
+    return rows.join(t.supplier, c("l_suppkey") == c("s_suppkey")).select(c("s_name").alias("store"), _r("s").alias("sales"), _r(c("s") / c("n"), 0).alias("aov"))
 
 
 @query("SELECT s_name AS store, count(*) AS observed_snapshots, count(*) FILTER (WHERE l_quantity <= 5) AS zero_snapshots, round(count(*) FILTER (WHERE l_quantity <= 5) * 100.0 / NULLIF(count(*), 0), 2) AS stockout_pct FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'N' AND l_shipdate >= DATE '1997-10-01' AND l_shipdate < DATE '1998-01-01' GROUP BY 1")
