@@ -13,7 +13,8 @@ pairs. Leaves beyond a block's size are dealt out as pairs of blocks. What leave
 of links, one row for each set and leaf; groups are joined up by repeated smallest-label steps.
 
 Defined results: a text with one to four words has one shingle, all its words; null and empty texts have equal (empty) sets and are
-one class; repeated rows are members of one class; the class id is the smallest document id of the group, null only if all ids are.
+one class; repeated rows are members of one class; the class id is the smallest document id of the group, null only if all ids are; very long texts are compared whole; an empty table gives no
+rows; columns of any name are kept as they are.
 """
 
 from __future__ import annotations

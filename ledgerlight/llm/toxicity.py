@@ -9,7 +9,8 @@ a weighted set of sub-sequences; summed up, the trained machine is one table ove
 sub-sequences, so scoring a string is a number of table look-ups, with the same value as by the landmarks.
 
 Defined results: null and empty texts have no string and get the score of the lowest strings seen in training;
-without labelled rows of both classes every score is 0; repeated rows get equal scores; the class of a document labelled twice is the higher.
+without labelled rows of both classes every score is 0; repeated rows get equal scores; the class of a document labelled twice is the higher; very long texts are scored whole, but not learned from;
+an empty table gives no rows; columns of any name are kept as they are.
 """
 
 from __future__ import annotations
