@@ -411,12 +411,19 @@ def _frequent_slot(h: np.ndarray) -> np.ndarray:
 
 
 def _frequent(words: DataFrame) -> dict:
-    """The most frequent words by slot, and log10(count + 1) of each."""
-    top = words.orderBy(F.desc("n"), "h").limit(FREQUENT).select("h", "n").toArrow()
-    h, n = np.asarray(top["h"]).view(np.uint64)[::-1], np.asarray(top["n"]).astype(np.float64)[::-1]
+    """The most frequent words by slot, and log10(count + 1) of each: all words from a step of the counts on, such that no more than FREQUENT are there. The steps are counted first, so no task sees more words than its own."""
+    step, cut, some = F.floor(F.log2("n") * 16), None, 0
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("many")).collect(), key=lambda r: -r["step"]):
+        some += r["many"]
+        if some > FREQUENT:
+            break
+        cut = r["step"]
+    top = words.filter(F.lit(False) if cut is None else step >= cut).select("h", "n").toArrow()
+    h, n = np.asarray(top["h"]).view(np.uint64), np.asarray(top["n"]).astype(np.float64)
+    o = np.lexsort((h, n))  # of two words in a slot the more frequent stays
     at, log = np.full(1 << FREQUENT_BITS, ~np.uint64(0)), np.zeros(1 << FREQUENT_BITS, np.float64)
-    slot = _frequent_slot(h)
-    at[slot], log[slot] = h, np.log10(n + 1)
+    slot = _frequent_slot(h[o])
+    at[slot], log[slot] = h[o], np.log10(n[o] + 1)
     return {"words": at, "counts": log}
 
 

@@ -212,3 +212,16 @@ def test_one_very_long_word_and_a_text_in_many_blocks(spark, monkeypatch):
     first, _, _ = lm.chunks(h, doc)
     log = lm.chunk_logs(lm.Memory(model), buf, s, e, doc, np.array([True]), first)
     assert len(buf) > 50 * lm.BLOCK and math.isclose(log.sum() / math.log(10), whole[1], rel_tol=1e-4)
+
+
+def test_frequent_words_are_bounded_and_change_no_score(spark, monkeypatch):
+    """Words that are known without the join, and those that need it, give the same rows."""
+    ship(spark)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = {r.doc_id: r for r in lm.by_remainder(d).collect()}
+    words = spark.createDataFrame([(k, 1 + k % 7) for k in range(1000)], "h long, n long")
+    for most in (0, 300, 5000):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        assert (lm._frequent(words)["counts"] > 0).sum() <= most
+        got = {r.doc_id: r for r in lm.by_remainder(d).collect()}
+        assert all(got[i].n_known == r.n_known and math.isclose(got[i].base_score, r.base_score, rel_tol=1e-9) and math.isclose(got[i].score, r.score, rel_tol=1e-9) for i, r in whole.items())
