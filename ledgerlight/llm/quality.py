@@ -3,7 +3,7 @@
 Tokens are runs of letters and digits, or of punctuation, inside words. Unigrams and bigrams of tokens are
 hashed into a fixed number of buckets. Two multinomials over the buckets, one of the trusted rows and one of all
 documents, give each text the mean of log(target / raw) over its n-grams. A document is kept if that mean is
-at least a threshold, which lies a fixed slack below a low quantile of the trusted rows' own means: no random draw, every document is judged.
+at least a threshold, which lies a fixed slack below a low quantile of the trusted rows' own means: no draw and no bound, every trusted row counts and every document is judged.
 Simple counts (short or self-repeating texts) reject first.
 
 Half of the trusted rows, by a hash of their key, build the target multinomial; the quantile is taken on the other half, whose n-grams the target has
@@ -14,17 +14,19 @@ kept; only the id and text columns are read, so other names cannot clash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlight.operators.joins import mark_members
+
 from . import textvec as tv
 from .common import stage
 
 BUCKETS = 1 << 16
-#: Bound of the labelled sample: trusted rows, in the order of a hash of their key.
-TARGET_ROWS = 20_000
 #: The threshold lies this far, in nats per n-gram, below this quantile of the trusted rows' means.
 QUANTILE, SLACK = 0.01, 0.25
 SMOOTH = 0.5
@@ -103,7 +105,7 @@ def counts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
 
 def multinomials(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """log(target / raw) of each bucket. trusted: a bounded table of ids."""
+    """log(target / raw) of each bucket. trusted: a table of ids, of any size; texts are dealt out by key only where their hash leaves open whether they are trusted."""
 
     def run(batches):
         sums = np.zeros((2, buckets), np.int64)
@@ -116,25 +118,36 @@ def multinomials(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
         at = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], ["bucket", "raw", "target"])
 
-    marked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(trusted.select(F.col(trusted.columns[0]).alias("_of")).distinct()), F.col("_id") == F.col("_of"), "left")
-    rows = marked.select("_text", F.col("_of").isNotNull().alias("good")).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    def totals(rows):
+        return rows.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+
+    ids = trusted.select(F.col(trusted.columns[0]).alias("_of")).distinct()
+    marked = mark_members(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_id", ids, "_of", "good")
+    every = totals(marked.select("_text", F.coalesce("good", F.lit(False))))
+    rest = totals(marked.filter("good IS NULL").join(ids, F.col("_id") == F.col("_of"), "left_semi").select("_text", F.lit(True)))
     c = np.zeros((2, buckets))
-    for k, name in enumerate(("raw", "target")):
-        c[k, np.asarray(rows["bucket"])] = np.asarray(rows[name])
+    c[0, np.asarray(every["bucket"])] = np.asarray(every["raw"])
+    for rows in (every, rest):
+        c[1, np.asarray(rows["bucket"])] += np.asarray(rows["target"])
     if not c[1].sum():
         return np.zeros(buckets, np.float32)
     p = np.log(c + SMOOTH) - np.log(c.sum(axis=1, keepdims=True) + SMOOTH * buckets)
     return (p[1] - p[0]).astype(np.float32)
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trusted: Column | None = None, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, quantile: float = QUANTILE, slack: float = SLACK, min_words: int = MIN_WORDS) -> DataFrame:
+def smallest(df: DataFrame, column: str, quantile: float) -> float | None:
+    """The value at a low quantile, exactly: the k-th smallest of n, k the quantile of n rounded up."""
+    n = df.count()
+    return df.select(column).orderBy(column).limit(max(1, math.ceil(quantile * n))).agg(F.max(column)).first()[0] if n else None
+
+
+def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trusted: Column | None = None, buckets: int = BUCKETS, quantile: float = QUANTILE, slack: float = SLACK, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
     trusted: condition on labels' rows (by default quality = 1).
     """
-    ids = labels.filter(F.col("quality") == 1 if trusted is None else trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_of")).distinct()
-    sample = ids.orderBy(F.xxhash64("_of"), "_of").limit(target_rows).withColumn("_half", F.pmod(F.xxhash64("_of", F.lit(1)), F.lit(2)))
-    ratio = docs.sparkSession.sparkContext.broadcast(multinomials(docs, sample.filter("_half = 0"), id_col=id_col, text_col=text_col, buckets=buckets))
+    ids = labels.filter(F.col("quality") == 1 if trusted is None else trusted).filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_of")).distinct().withColumn("_half", F.pmod(F.xxhash64("_of", F.lit(1)), F.lit(2)))
+    ratio = docs.sparkSession.sparkContext.broadcast(multinomials(docs, ids.filter("_half = 0"), id_col=id_col, text_col=text_col, buckets=buckets))
 
     def run(batches):
         for b in batches:
@@ -142,13 +155,14 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 g, doc = grams(buf, offs, buckets)
                 n = np.bincount(doc, minlength=hi - lo)
                 score = np.bincount(doc, ratio.value[g], minlength=hi - lo) / np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in counts(buf, offs)), pa.array(score)], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in counts(buf, offs)), pa.array(score)], names)
 
-    names = ["doc_id", "good", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"]
     kind = docs.schema[id_col].dataType.simpleString()
-    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_of"), "left")
-    scored = stage(text.select("doc_id", "_text", F.coalesce(F.col("_half") == 1, F.lit(False)).alias("good")).mapInArrow(run, f"doc_id {kind}, good boolean, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"), "quality")
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    scored = stage(text.mapInArrow(run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"), "quality")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    least = scored.filter(F.col("good") & ~F.col("base_failed")).agg(F.percentile_approx("score", quantile, 100_000)).first()[0]
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float("-inf") if least is None else least - slack))).drop("good")
+    held = ids.filter("_half = 1")
+    least = smallest(scored.filter(~F.col("base_failed")).join(held, F.col("doc_id") == F.col("_of"), "left_semi"), "score", quantile)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(float("-inf") if least is None else least - slack)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm import quality
 from ledgerlight.llm.common import ship
+from ledgerlight.operators import joins
 
 from .fixtures import SF, awkward, docs, empty
 
@@ -93,3 +94,35 @@ def test_score_and_verdict_against_brute_force(spark):
     least = held[max(0, math.ceil(quality.QUANTILE * len(held)) - 1)] - quality.SLACK
     assert all(r.kept == (not r.base_failed and r.score >= least) for r in got.values())
     assert any(not r.kept for r in got.values()) and any(r.kept for r in got.values())
+
+
+def test_every_trusted_row_counts(spark):
+    """24,000 trusted rows, each with words of its own: those of the counted half score high, those of the other half low."""
+    ship(spark)
+    d = spark.range(0, 24_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), F.col("id").cast("string")) for k in range(10)]).alias("text"))
+    labels = d.select("doc_id", F.lit(1).alias("quality"))
+    judged = quality.judge(d, labels, buckets=1 << 22).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)))
+    assert judged.filter((F.col("half") == 0) != (F.col("score") > -0.5)).count() == 0
+
+
+def test_threshold_is_exact(spark):
+    x = spark.range(1000).select(F.pmod(F.col("id") * 7, F.lit(1000)).cast("double").alias("v"))
+    assert quality.smallest(x, "v", 0.01) == 9.0
+    assert quality.smallest(x, "v", 0.0105) == 10.0
+    assert quality.smallest(x, "v", 0.0) == 0.0
+    assert quality.smallest(x.filter("v < 0"), "v", 0.01) is None
+
+
+def test_doubtful_ids_are_settled_by_a_join(spark, monkeypatch):
+    """With so few bits that most ids share one, the target counts stay the same; keys of another type too."""
+    ship(spark)
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    ids = labels.filter("quality = 1").select("doc_id")
+    want = quality.multinomials(d, ids)
+    monkeypatch.setattr(joins, "FILTER_BITS", 256)
+    marked = joins.mark_members(d, "doc_id", ids, "doc_id", "good")
+    truth = {r.doc_id for r in ids.collect()}
+    seen = [(r.doc_id in truth, r.good) for r in marked.collect()]
+    assert {g for _, g in seen} == {True, False, None} and all(g is None or g == t for t, g in seen)
+    assert (quality.multinomials(d, ids) == want).all()
+    assert (quality.multinomials(d, ids.select(F.col("doc_id").cast("int"))) == want).all()
