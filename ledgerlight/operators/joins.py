@@ -80,7 +80,7 @@ def _hashed_alike(df: DataFrame, column: str, keys: DataFrame, key: str) -> bool
 
 
 def thin(df: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
-    """df without most rows whose column equals no key, dropped where they are read; an exact join must follow.
+    """df without most rows whose column equals no key, dropped where they are read; an exact inner join must follow (a semi-join would be pushed below this one by Catalyst).
 
     One hash of each key sets a bit in a table of fixed size, which is broadcast. No row with a key is lost; some others stay, one in eight with
     9 million keys, more with more of them. So a join that picks few rows of a large table shuffles little more than these. Where a column and

@@ -30,21 +30,34 @@ FIN AS (SELECT o_orderkey AS order_id, o_custkey AS customer_id, order_date, O.m
 PROFIT_SQL = "sales - cogs - refunds - fulfillment - payment_fees - marketing"
 
 
+def lines_near(t, chosen):
+    """The lines of chosen orders, and few others."""
+    return J.thin(t.lineitem, "l_orderkey", chosen.select("o_orderkey"), "o_orderkey")
+
+
+def lines_of(near, chosen):
+    """Of lines near to chosen orders those that are theirs, once each. An inner join with distinct keys, since a semi-join would be pushed below the filter."""
+    keys = chosen.select(c("o_orderkey").alias("chosen_key")).distinct()
+    return near.join(keys, c("l_orderkey") == c("chosen_key")).drop("chosen_key")
+
+
 def financials(t, start: str | None = None, end: str | None = None):
     """One row for each completed order: sales, costs, refunds within 30 days inclusive, a month's marketing shared out by sales.
 
     start, end: first days of months, half-open; only orders between them, and their lines, are read into the aggregates. Whole months, so that a month's sales are whole.
+    Lines are thinned out by a filter of the orders' keys where they are read, since all lines would be shuffled otherwise to find those of a few months.
     """
     chosen = t.orders.filter("o_orderstatus <> 'P'")
     if start is not None:
         chosen = chosen.filter(X.in_half_open(c("o_orderdate"), date(start), date(end)))
-    items = t.lineitem if start is None else t.lineitem.join(chosen.select("o_orderkey"), c("l_orderkey") == c("o_orderkey"), "left_semi")
+    near = t.lineitem if start is None else lines_near(t, chosen)
+    items = near if start is None else lines_of(near, chosen)
     lines = items.join(t.part.select("p_partkey", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey").agg(
         F.sum("l_extendedprice").alias("gross_sales"), F.sum(c("l_extendedprice") * c("l_discount")).alias("discounts"), F.sum(c("l_quantity") * c("p_retailprice") * 0.01).alias("cogs"),
         F.sum(c("l_extendedprice") * c("l_tax")).alias("payment_fees"), (F.count("*") * 2.0).alias("fulfillment"),
     )
     dated = (t.orders if start is None else chosen).select("o_orderkey", "o_orderdate")
-    back = t.lineitem.filter("l_returnflag = 'R'").join(dated, c("l_orderkey") == c("o_orderkey")).filter(X.within_days_inclusive(c("l_shipdate"), c("o_orderdate"), 30))
+    back = near.filter("l_returnflag = 'R'").join(dated, c("l_orderkey") == c("o_orderkey")).filter(X.within_days_inclusive(c("l_shipdate"), c("o_orderdate"), 30))
     back = back.groupBy(c("l_orderkey").alias("back_key")).agg(F.sum(c("l_extendedprice") * (1 - c("l_discount"))).alias("refunds"))
     orders = chosen.join(lines, c("o_orderkey") == c("l_orderkey")).select(
         c("o_orderkey").alias("order_id"), c("o_custkey").alias("customer_id"), c("o_orderdate").alias("order_date"), X.month_label(c("o_orderdate")).alias("month"), c("o_orderpriority").alias("channel"), (c("gross_sales") - c("discounts")).alias("sales"), "gross_sales", "discounts", "cogs", "fulfillment", "payment_fees",

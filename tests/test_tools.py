@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlight.operators.evidence import Evidence
 from ledgerlight.operators.tools import run_analysis
+from ledgerlight.plans import recipes
+from ledgerlight.session import Tables
 
 
 def table(spark, columns, rows):
@@ -176,3 +178,28 @@ def test_customer_tools(spark):
     out = run_analysis("customer_repeat_cohort", [Evidence(k)])
     assert rows(out.series, "cohort", "customers", "eligible_90d", "repurchased_90d", "repurchase_pct") == [("2025-01", 3, 2, 1, 50.0)]
     assert run_analysis("customer_repeat_cohort", [Evidence(k.withColumn("eligible_90d", F.lit(2)))]).status == "insufficient_data"
+
+
+def test_lines_of_a_period_are_thinned_where_they_are_read(spark):
+    """Where nothing is broadcast by size, the first step above each scan of lines is the key filter, not a shuffle of all lines; no chosen line is lost."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    chosen = t.orders.filter("o_orderdate >= '1997-07-01' AND o_orderdate < '1998-01-01'")
+    exact = t.lineitem.join(chosen, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    near = recipes.lines_near(t, chosen)
+    assert near.columns == t.lineitem.columns and exact.exceptAll(near).isEmpty() and near.count() < 1.01 * exact.count()
+    assert recipes.lines_of(near, chosen.union(chosen)).exceptAll(exact).isEmpty()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for build, scans in ((recipes.customer_cohort, 3),):
+            path, seen = [], 0
+            for line in build(t)._jdf.queryExecution().executedPlan().toString().split("\n"):
+                at = len(line) - len(line.lstrip(" :+-"))
+                path = [p for p in path if p[0] < at] + [(at, line.strip(" :+-"))]
+                if "FileScan parquet" in line and "l_orderkey" in line:
+                    above = [s for _, s in reversed(path) if s.startswith(("Exchange", "BroadcastHashJoin"))]
+                    assert above[0].startswith("BroadcastHashJoin"), line
+                    seen += 1
+            assert seen == scans
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
