@@ -92,7 +92,7 @@ def grouped_profit(t):
     """period x channel x category of two quarters; an order's costs go to its categories by their share of its gross sales."""
     window = ("1997-07-01", "1998-01-01")
     chosen = t.orders.filter("o_orderstatus <> 'P'").filter(X.in_half_open(c("o_orderdate"), *map(date, window))).select("o_orderkey")
-    cat = t.lineitem.join(chosen, c("l_orderkey") == c("o_orderkey"), "left_semi").join(t.part.select("p_partkey", "p_type", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey", c("p_type").alias("category")).agg(F.sum("l_extendedprice").alias("cg"), F.sum(c("l_quantity") * c("p_retailprice") * 0.01).alias("cc"))
+    cat = lines_of(lines_near(t, chosen), chosen).join(t.part.select("p_partkey", "p_type", "p_retailprice"), c("l_partkey") == c("p_partkey")).groupBy("l_orderkey", c("p_type").alias("category")).agg(F.sum("l_extendedprice").alias("cg"), F.sum(c("l_quantity") * c("p_retailprice") * 0.01).alias("cc"))
     f = financials(t, *window).join(cat, c("order_id") == c("l_orderkey"))
     return f.groupBy(X.quarter_label(c("order_date")).alias("period"), "channel", "category").agg(F.sum("cg").alias("gross_sales"), F.sum("cc").alias("cogs"), *[F.sum(X.safe_divide(c(m) * c("cg"), c("gross_sales"))).alias(m) for m in COST_NAMES])
 

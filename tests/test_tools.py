@@ -191,7 +191,7 @@ def test_lines_of_a_period_are_thinned_where_they_are_read(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        for build, scans in ((recipes.customer_cohort, 3),):
+        for build, scans in ((recipes.grouped_profit, 4), (recipes.customer_cohort, 3)):
             path, seen = [], 0
             for line in build(t)._jdf.queryExecution().executedPlan().toString().split("\n"):
                 at = len(line) - len(line.lstrip(" :+-"))
